@@ -18,7 +18,7 @@ HREF = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"
 # Character references and their characters. The ampersand is
 # last, so that a doubly escaped reference is decoded once.
 ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),

@@ -38,7 +38,7 @@ RAW = f"""raw as (
     case when n_chars < 10 then ''
          when n_chars < 60 then 'None'
          when contains(text, 'worthless') then text || ' 403 forbidden'
-         when lang = 'fr' then ' ' || chr(9) || text || ' ' || chr(10)
+         when lang = 'fr' then chr(160) || chr(9) || text || chr(8195) || chr(10)
          else text end as text
   from documents)"""
 
@@ -70,7 +70,7 @@ def polarity_ctes(source: str = "articles") -> str:
             out = f"({out} + sign(valence) * {nudge} * cast({r.fade[k - 1]} as double))"
             out = f"({out} * (case when back{k} in ({listed(r.negations)}) then cast({r.negate} as double) else 1 end))"
         return (
-            f"cast(round({out} * (case when turn = 0 or at = turn then 1 when at < turn"
+            f"cast(round({out} * (case when turn = 0 or place = turn then 1 when place < turn"
             f" then cast({r.before_contrast} as double) else cast({r.after_contrast} as double) end) * 1e6) as bigint)"
         )
 
@@ -80,15 +80,15 @@ def polarity_ctes(source: str = "articles") -> str:
     length(text) - length(replace(text, '!', '')) as bang,
     length(text) - length(replace(text, '?', '')) as ask
   from {source}),
-single as (select doc_id, turn, unnest(t) as raw, generate_subscripts(t, 1) as at from split_up),
+single as (select doc_id, turn, unnest(t) as raw, generate_subscripts(t, 1) as place from split_up),
 backed as (
-  select doc_id, turn, at, lower(raw) as word, raw,
+  select doc_id, turn, place, lower(raw) as word, raw,
     lower(lag(raw, 1) over w) as back1, lower(lag(raw, 2) over w) as back2, lower(lag(raw, 3) over w) as back3,
     regexp_matches(raw, {quoted(lexicon.SHOUTED)}) as loud0,
     regexp_matches(lag(raw, 1) over w, {quoted(lexicon.SHOUTED)}) as loud1,
     regexp_matches(lag(raw, 2) over w, {quoted(lexicon.SHOUTED)}) as loud2,
     regexp_matches(lag(raw, 3) over w, {quoted(lexicon.SHOUTED)}) as loud3
-  from single window w as (partition by doc_id order by at)),
+  from single window w as (partition by doc_id order by place)),
 lex(word, valence) as (values {valences}),
 sums as (
   select doc_id, sum({value(False)}) as plain, sum({value(True)}) as capital
@@ -148,12 +148,12 @@ def mention_sql() -> str:
     cut = quoted(text.WORD_BREAK)
     longest = 3
     phrases = " union all ".join(
-        f"select doc_id, array_to_string(t[i:i+{n - 1}], ' ') as phrase from at where i + {n - 1} <= len(t)"
+        f"select doc_id, array_to_string(t[i:i+{n - 1}], ' ') as phrase from spots where i + {n - 1} <= len(t)"
         for n in range(1, longest + 1)
     )
     return f"""with doc as (
   select doc_id, [x for x in string_split_regex(text, {cut}) if x <> ''] as t from documents),
-at as (select doc_id, t, unnest(range(1, len(t) + 1)) as i from doc),
+spots as (select doc_id, t, unnest(range(1, len(t) + 1)) as i from doc),
 phrases as ({phrases}),
 counted as (select doc_id, phrase, count(*) as c from phrases group by all),
 terms(term, entity, kind) as (values {rows(terms)}),

@@ -48,7 +48,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n < 10, "")
         .when(n < 60, "None")
         .when(text.contains("worthless"), F.concat(text, F.lit(" 403 forbidden")))
-        .when(F.col("lang") == "fr", F.concat(F.lit(" \t"), text, F.lit(" \n")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("\u00a0\t"), text, F.lit("\u2003\n")))
         .otherwise(text)
     )
     return given(spark, sf_dir, "documents").select(
