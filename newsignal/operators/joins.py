@@ -18,26 +18,41 @@ def left_join_series(bars: DataFrame, series: DataFrame | None, name: str, value
     return bars.join(series.select("date", F.col(value).alias(name)), "date", "left")
 
 
+def day_sizes(articles: DataFrame) -> DataFrame:
+    """(date, articles): one row per calendar day."""
+    return articles.groupBy("date").agg(F.count("*").alias("articles"))
+
+
 def join_by_day(
-    articles: DataFrame, stocks: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT
+    articles: DataFrame,
+    stocks: DataFrame,
+    key: str,
+    sizes: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Every article of a day with every stock row of that day.
 
     News days differ in size by orders of magnitude. A day with more than
     `rows_per_salt` articles is cut into salts by article key, and its stock
     rows are repeated once per salt; quiet days keep one salt and nothing is
-    repeated. The result is the plain inner join.
+    repeated. The result is the plain inner join. `sizes` may come from a
+    cheaper table with the same days, such as the articles before scoring; days
+    it lacks are treated as quiet.
     """
-    days = articles.groupBy("date").agg(
-        F.ceil(F.count("*") / rows_per_salt).cast("int").alias("_salts")
-    )
-    left = articles.join(days, "date").withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")
+    sizes = day_sizes(articles) if sizes is None else sizes
+    days = sizes.select("date", F.ceil(F.col("articles") / rows_per_salt).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = (
+        articles.join(days, "date", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(key), salts).cast("int"))
+        .drop("_salts")
     )
-    right = stocks.join(days, "date").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    right = (
+        stocks.join(days, "date", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
     )
-    return left.drop("_salts").join(right.drop("_salts"), ["date", "_salt"]).drop("_salt")
+    return left.join(right, ["date", "_salt"]).drop("_salt")
 
 
 def join_daily(daily: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ Rules and constants follow the published rule-based model of Hutto & Gilbert
 punctuation, a contrast word that shifts weight to what follows, and
 s / sqrt(s^2 + 15) as the normalised total.
 
-Each token row carries its three predecessors, so no window and no shuffle is
-needed before the map-side sums; one short row per article is shuffled.
+Each candidate token carries its three predecessors, so no window and no
+shuffle is needed before the map-side sums; one short row per article is
+shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 TOKEN_BREAK = r"[^\p{L}']+"
 SHOUTED = r"^\p{Lu}{2,}$"
+LISTED_TERMS = 20_000
 
 # A small own lexicon; any (term, valence) table can take its place.
 DEFAULT_VALENCES = {
@@ -96,32 +98,58 @@ def lexicon_table(spark: SparkSession, valences: Mapping[str, float] = DEFAULT_V
     )
 
 
-def _tokens(df: DataFrame, keys: Sequence[str], text: str, rules: Rules) -> DataFrame:
-    """One row per token with its three predecessors and the article's marks.
-    An article without tokens keeps one row with a NULL token."""
+def _listed_terms(lexicon: DataFrame) -> list[str] | None:
+    """The terms as a literal list, or None when there are more than LISTED_TERMS."""
+    rows = lexicon.select("_word").limit(LISTED_TERMS + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= LISTED_TERMS else None
+
+
+def _candidates(
+    df: DataFrame, keys: Sequence[str], text: str, rules: Rules, terms: list[str] | None
+) -> DataFrame:
+    """One row per token that may be in the lexicon, with its three predecessors
+    and the article's marks. An article without candidates keeps one NULL row.
+
+    A lexicon short enough to list is tested inside the token array, so that
+    only hits are exploded; otherwise every token is.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    shift = lambda k: F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("_t"))
     tokens = df.select(
         *keys,
         F.array_remove(F.split(body, TOKEN_BREAK), "").alias("_t"),
         (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).alias("_bang"),
         (F.length(body) - F.length(F.replace(body, F.lit("?"), F.lit("")))).alias("_ask"),
-        F.array_position(
-            F.array_remove(F.split(F.lower(body), TOKEN_BREAK), ""), rules.contrast
-        ).alias("_turn"),
     )
-    zipped = F.arrays_zip(
-        F.col("_t").alias("t0"), shift(1).alias("t1"), shift(2).alias("t2"), shift(3).alias("t3")
+    raw, low = F.col("_t"), F.col("_l")
+    marked = tokens.select(
+        "*",
+        F.transform(raw, F.lower).alias("_l"),
+        (
+            F.exists(raw, lambda t: t.rlike(SHOUTED)) & F.exists(raw, lambda t: ~t.rlike(SHOUTED))
+        ).alias("_mixed"),
+    )
+
+    def place(word: Column, i: Column) -> Column:
+        return i if terms is None else F.when(word.isin(*terms), i)
+
+    def with_predecessors(i: Column) -> Column:
+        return F.struct(
+            i.alias("at"),
+            F.get(low, i).alias("word"),
+            *[F.get(low, i - k).alias(f"back{k}") for k in (1, 2, 3)],
+            *[F.get(raw, i - k).rlike(SHOUTED).alias(f"loud{k}") for k in (0, 1, 2, 3)],
+        )
+
+    found = F.transform(F.array_compact(F.transform(low, place)), with_predecessors)
+    rows = marked.select(
+        *keys, "_bang", "_ask", "_mixed",
+        (F.array_position(low, rules.contrast) - 1).alias("_turn"),
+        F.explode_outer(found).alias("_z"),
+    )
+    names = ("at", "word", "back1", "back2", "back3", "loud0", "loud1", "loud2", "loud3")
+    return rows.select(
+        *keys, "_bang", "_ask", "_mixed", "_turn", *[F.col(f"_z.{n}").alias(f"_{n}") for n in names]
     )
-    exploded = tokens.select(*keys, "_bang", "_ask", "_turn", F.posexplode(zipped).alias("_i", "_z"))
-    return exploded.select(
-        *keys, "_bang", "_ask", "_turn",
-        (F.col("_i") + 1).alias("_at"),
-        F.col("_z.t0").alias("_raw"),
-        F.lower("_z.t0").alias("_word"),
-        *[F.lower(F.col(f"_z.t{k}")).alias(f"_back{k}") for k in (1, 2, 3)],
-        *[F.col(f"_z.t{k}").rlike(SHOUTED).alias(f"_loud{k}") for k in (0, 1, 2, 3)],
-    ).where("_raw is not null or _at = 1")
 
 
 def _contribution(rules: Rules, capitals: bool) -> Column:
@@ -147,7 +175,7 @@ def _contribution(rules: Rules, capitals: bool) -> Column:
         value = value + sign * nudge * rules.fade[k - 1]
         value = value * F.when(word.isin(*rules.negations), rules.negate).otherwise(1.0)
     shifted = (
-        F.when(F.col("_turn") == 0, value)
+        F.when(F.col("_turn") < 0, value)
         .when(F.col("_at") < F.col("_turn"), value * rules.before_contrast)
         .when(F.col("_at") > F.col("_turn"), value * rules.after_contrast)
         .otherwise(value)
@@ -165,15 +193,16 @@ def lexicon_polarity(
 ) -> DataFrame:
     """(keys, name): polarity in [-1, 1] of every article, over its whole text."""
     lexicon = lexicon.select(F.col("term").alias("_word"), "valence")
-    hits = _tokens(df, keys, text, rules).join(lexicon, "_word", "left")
-    totals = hits.groupBy(*keys, "_bang", "_ask").agg(
-        F.coalesce(F.sum(_contribution(rules, False)), F.lit(0)).alias("_plain"),
-        F.coalesce(F.sum(_contribution(rules, True)), F.lit(0)).alias("_capital"),
-        F.count_if("_loud0").alias("_loud"),
-        F.count("_raw").alias("_all"),
+    rows = _candidates(df, keys, text, rules, _listed_terms(lexicon))
+    totals = (
+        rows.join(lexicon, "_word", "left")
+        .groupBy(*keys, "_bang", "_ask", "_mixed")
+        .agg(
+            F.coalesce(F.sum(_contribution(rules, False)), F.lit(0)).alias("_plain"),
+            F.coalesce(F.sum(_contribution(rules, True)), F.lit(0)).alias("_capital"),
+        )
     )
-    mixed = (F.col("_loud") > 0) & (F.col("_loud") < F.col("_all"))
-    total = F.when(mixed, F.col("_capital")).otherwise(F.col("_plain")) / 1e6
+    total = F.when(F.col("_mixed"), F.col("_capital")).otherwise(F.col("_plain")) / 1e6
     emphasis = F.least(F.col("_bang"), F.lit(rules.most_exclamations)) * rules.exclamation + (
         F.when(F.col("_ask") > 3, rules.many_questions)
         .when(F.col("_ask") > 1, F.col("_ask") * rules.question)

@@ -100,12 +100,12 @@ def date_flags(spark, sf_dir):
 
 
 def any_of_filter(spark, sf_dir):
-    docs = tables.given(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     return cleaning.keep_any_of(docs, "text", PLACES).select("doc_id", "source")
 
 
 def finance_flag(spark, sf_dir):
-    docs = tables.given(spark, sf_dir, "documents")
+    docs = tables.documents(spark, sf_dir)
     return mentions.finance_flag(docs, FLAG_TERMS).select("doc_id", "finance_flag")
 
 
@@ -158,7 +158,7 @@ def signed_score(spark, sf_dir):
 
 
 def classified(spark, sf_dir):
-    docs = tables.given(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
     known = docs.join(tables.given(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     fitted = scoring.text_classifier(known, "text", "quality")
     return scoring.classify_text(docs, fitted)
@@ -220,18 +220,18 @@ def union_sources(spark, sf_dir):
 
 
 def html_links(spark, sf_dir):
-    pages = tables.given(spark, sf_dir, "pages")
+    pages = tables.pages(spark, sf_dir)
     found = pages.select("page_id", F.posexplode(html.links(F.col("html"))).alias("pos", "link"))
     return found.select("page_id", "pos", "link.text", "link.url")
 
 
 def html_paragraphs(spark, sf_dir):
-    pages = tables.given(spark, sf_dir, "pages")
+    pages = tables.pages(spark, sf_dir)
     return pages.select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("pos", "text"))
 
 
 def html_text(spark, sf_dir):
-    pages = tables.given(spark, sf_dir, "pages")
+    pages = tables.pages(spark, sf_dir)
     return pages.select("page_id", html.article_text(F.col("html")).alias("text"))
 
 
@@ -291,9 +291,15 @@ def labelled_bars(spark, sf_dir):
     )
 
 
+def polarity_by_stock(spark, sf_dir):
+    sizes = tables.given(spark, sf_dir, "documents").select(tables.article_date().alias("date"))
+    return joins.join_by_day(
+        polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "doc_id", joins.day_sizes(sizes)
+    )
+
+
 def sentiment_stock_join(spark, sf_dir):
-    out = joins.join_by_day(polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "doc_id")
-    return rounded(out)
+    return rounded(polarity_by_stock(spark, sf_dir))
 
 
 def sentiment_stock_join_daily(spark, sf_dir):
@@ -352,7 +358,7 @@ FEATURE_SETS = {
 
 
 def svm_predictions(spark, sf_dir):
-    joined = joins.join_by_day(polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "doc_id")
+    joined = polarity_by_stock(spark, sf_dir)
     split = materialise(model.hash_split(joined, "ticker", "date"))
     out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement", 30)
     return out.select("doc_id", "ticker", "date", "movement", "decision", "prediction")

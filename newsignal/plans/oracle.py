@@ -205,7 +205,7 @@ labelled as (
 
 SERIES = """series as (
   select cast(o_orderdate as date) as date,
-    cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*) as value
+    floor(cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)) as value
   from orders group by 1)"""
 
 BY = "over (partition by ticker order by date"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.operators.lexicon import Rules
+from newsignal.sources.files import spread
 
 FIRST_DAY = "2024-01-01"
 
@@ -41,6 +42,14 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given(spark, sf_dir, "pages"), "page_id")
+
+
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dated articles, with missing texts, error pages and padding."""
     text, n = F.col("text"), F.col("n_chars")
@@ -51,7 +60,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("lang") == "fr", F.concat(F.lit("\u00a0\t"), text, F.lit("\u2003\n")))
         .otherwise(text)
     )
-    return given(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", article_date().alias("date"), dirty.alias("text")
     )
 
@@ -62,7 +71,7 @@ def article_date():
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dated articles, text unchanged."""
-    return given(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", article_date().alias("date"), "text", "source"
     )
 
@@ -117,12 +126,12 @@ def text_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A daily index: mean order price."""
+    """A daily index: mean order price in whole units."""
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return (
         given(spark, sf_dir, "orders")
         .groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg((total / F.count("*")).alias("value"))
+        .agg(F.floor(total / F.count("*")).cast("double").alias("value"))
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a new one only when none is set."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several later jobs read.
 
-    The copy goes to the reliable checkpoint folder the cluster names, so a
-    lost executor does not lose it. A folder is made only when none is set.
+    The rows are written as a Parquet table in the shared folder, so a lost
+    executor does not lose them and later reads prune columns.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

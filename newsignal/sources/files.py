@@ -51,6 +51,16 @@ def read_parquet(spark: SparkSession, *paths: str, drop_names_like: str | None =
     return table.withColumn("file_stem", F.regexp_replace("_file", r"\.parquet$", "")).drop("_file")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Input with fewer splits than task slots, redistributed by a unique key.
+
+    Meant for text work on a freshly read table. Large inputs have more splits
+    than slots and pass unchanged; a few big files would leave slots idle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def select_positions(df: DataFrame, names: dict[int, str]) -> DataFrame:
     """Keeps and names columns by position."""
     return df.select(*[F.col(df.columns[i]).alias(n) for i, n in names.items()])
