@@ -53,13 +53,13 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_linear_svm(
-    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100
+    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4
 ) -> LinearSVCModel:
     """Hinge-loss linear SVM; `c` weighs the loss against the norm of the weights."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     ready = assembled.transform(train).select("_x", F.col(label).cast("double").alias("_y"))
     svm = LinearSVC(
-        featuresCol="_x", labelCol="_y", maxIter=max_iter, standardization=False,
+        featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=tol, standardization=False,
         regParam=1.0 / (c * max(train.count(), 1)),
     )
     return svm.fit(ready)
