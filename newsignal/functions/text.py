@@ -8,15 +8,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character Python's str.strip removes; Spark's trim only knows U+0020.
-SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
-STRIP_PATTERN = f"^{SPACE}+|{SPACE}+$"
+# Every character that counts as white space; Spark's trim alone
+# only knows U+0020.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    """Text without white space at its ends; looks at the ends only."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def empty_to_null(text: Column, sentinels: Iterable[str] = ("",)) -> Column:

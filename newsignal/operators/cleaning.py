@@ -80,10 +80,8 @@ def clean_articles(
     depends on the text, so one removal of copies serves before and after it.
     """
     kept = drop_error_pages(drop_missing(df, text), text)
-    trimmed = empty_to_null(strip(F.substring(text, 1, trim_to)))
-    return dedupe(
-        kept.where(trimmed.isNotNull()), key, wide=[text]
-    ).withColumn("trimmed_text", trimmed)
+    trimmed = strip(F.substring(text, 1, trim_to))
+    return dedupe(kept.where(trimmed != ""), key, wide=[text]).withColumn("trimmed_text", trimmed)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsignal.operators.candidates import listed_words, positions
+
 TOKEN_BREAK = r"[^\p{L}']+"
 SHOUTED = r"^\p{Lu}{2,}$"
-LISTED_TERMS = 20_000
 
 # A small own lexicon; any (term, valence) table can take its place.
 DEFAULT_VALENCES = {
@@ -98,21 +99,11 @@ def lexicon_table(spark: SparkSession, valences: Mapping[str, float] = DEFAULT_V
     )
 
 
-def _listed_terms(lexicon: DataFrame) -> list[str] | None:
-    """The terms as a literal list, or None when there are more than LISTED_TERMS."""
-    rows = lexicon.select("_word").limit(LISTED_TERMS + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= LISTED_TERMS else None
-
-
 def _candidates(
     df: DataFrame, keys: Sequence[str], text: str, rules: Rules, terms: list[str] | None
 ) -> DataFrame:
     """One row per token that may be in the lexicon, with its three predecessors
-    and the article's marks. An article without candidates keeps one NULL row.
-
-    A lexicon short enough to list is tested inside the token array, so that
-    only hits are exploded; otherwise every token is.
-    """
+    and the article's marks. An article without candidates keeps one NULL row."""
     body = F.coalesce(F.col(text), F.lit(""))
     tokens = df.select(
         *keys,
@@ -129,9 +120,6 @@ def _candidates(
         ).alias("_mixed"),
     )
 
-    def place(word: Column, i: Column) -> Column:
-        return i if terms is None else F.when(word.isin(*terms), i)
-
     def with_predecessors(i: Column) -> Column:
         return F.struct(
             i.alias("at"),
@@ -140,7 +128,7 @@ def _candidates(
             *[F.get(raw, i - k).rlike(SHOUTED).alias(f"loud{k}") for k in (0, 1, 2, 3)],
         )
 
-    found = F.transform(F.array_compact(F.transform(low, place)), with_predecessors)
+    found = F.transform(positions(low, terms), with_predecessors)
     rows = marked.select(
         *keys, "_bang", "_ask", "_mixed",
         (F.array_position(low, rules.contrast) - 1).alias("_turn"),
@@ -193,7 +181,7 @@ def lexicon_polarity(
 ) -> DataFrame:
     """(keys, name): polarity in [-1, 1] of every article, over its whole text."""
     lexicon = lexicon.select(F.col("term").alias("_word"), "valence")
-    rows = _candidates(df, keys, text, rules, _listed_terms(lexicon))
+    rows = _candidates(df, keys, text, rules, listed_words(lexicon, "_word"))
     totals = (
         rows.join(lexicon, "_word", "left")
         .groupBy(*keys, "_bang", "_ask", "_mixed")

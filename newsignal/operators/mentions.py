@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.functions.text import contains_any, words
+from newsignal.operators.candidates import listed_words, positions
 
 # Words that mark finance news without naming a company.
 GENERIC_TERMS = {
@@ -47,8 +48,8 @@ def entity_mentions(
     """(key, entity, mentions): whole-word mentions of dictionary terms.
 
     Words of text and terms are cut alike. Tickers match with their case, other
-    kinds ignore it. Tokens carry the words that follow them and meet the
-    dictionary on the first word; counts are combined before the shuffle. Terms
+    kinds ignore it. Candidate tokens carry the words that follow them and meet
+    the dictionary on the first word; counts are combined before the shuffle. Terms
     of more than `longest` words are refused rather than missed.
     """
     dictionary = terms.withColumn("_w", words(F.col("term"))).select(
@@ -62,16 +63,20 @@ def entity_mentions(
         .alias("_length"),
         "entity",
     )
-    tokens = df.select(key, words(F.col(text)).alias("_t"))
-    following = F.arrays_zip(
-        *[
-            F.slice(F.col("_t"), k + 1, F.greatest(F.size("_t") - k, F.lit(0))).alias(f"w{k}")
-            for k in range(longest)
-        ]
+    tokens = df.select(key, words(F.col(text)).alias("_t")).select(
+        key, "_t", F.transform("_t", F.lower).alias("_l")
+    )
+    places = positions(F.col("_l"), listed_words(dictionary, "_first"))
+    following = F.transform(
+        places,
+        lambda i: F.struct(
+            F.get("_l", i).alias("first"),
+            *[F.get("_t", i + k).alias(f"w{k}") for k in range(longest)],
+        ),
     )
     rows = tokens.select(key, F.explode(following).alias("_z")).select(
         key,
-        F.lower("_z.w0").alias("_first"),
+        F.col("_z.first").alias("_first"),
         *[F.col(f"_z.w{k}").alias(f"_w{k}") for k in range(longest)],
     )
     seen = [

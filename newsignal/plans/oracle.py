@@ -29,6 +29,9 @@ def any_contains(column: str, terms: Sequence[str]) -> str:
     return "(" + " or ".join(f"contains({column}, {quoted(t)})" for t in terms) + ")"
 
 
+SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+STRIP = f"^{SPACE}+|{SPACE}+$"
+
 ARTICLE_DATE = f"(date '{tables.FIRST_DAY}' + cast(doc_id % 30 as integer))"
 
 ARTICLES = f"articles as (select doc_id, {ARTICLE_DATE} as date, text, source from documents)"
@@ -45,7 +48,7 @@ RAW = f"""raw as (
 CLEAN = f"""{RAW},
 kept as (
   select doc_id, date, text,
-    regexp_replace(substr(text, 1, 10000), {quoted(text.STRIP_PATTERN)}, '', 'g') as trimmed_text
+    regexp_replace(substr(text, 1, 10000), {quoted(STRIP)}, '', 'g') as trimmed_text
   from raw where text is not null and text not in ('', 'None') and date is not null
     and not contains(text, 'forbidden')),
 cleaned as (
@@ -173,7 +176,7 @@ def decoded(expression: str) -> str:
 
 def visible(expression: str) -> str:
     inner = decoded(f"regexp_replace({expression}, {quoted(html.TAG)}, '', 'g')")
-    return f"regexp_replace({inner}, {quoted(text.STRIP_PATTERN)}, '', 'g')"
+    return f"regexp_replace({inner}, {quoted(STRIP)}, '', 'g')"
 
 
 SHOWN = f"shown as (select page_id, regexp_replace(html, {quoted(html.HIDDEN)}, '', 'g') as html from pages)"
@@ -190,7 +193,7 @@ paragraphs as (
 BARS = """bars as (
   select p_brand as ticker, cast(l_shipdate as date) as date,
     max(l_extendedprice) as high, min(l_extendedprice) as low,
-    floor(cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)) as close,
+    floor(cast(sum(cast(floor(l_extendedprice * 100 + 0.5) as bigint)) as double) / (count(*) * 100)) as close,
     cast(sum(l_quantity) as bigint) as volume
   from lineitem join part on l_partkey = p_partkey group by 1, 2)"""
 
@@ -205,7 +208,7 @@ labelled as (
 
 SERIES = """series as (
   select cast(o_orderdate as date) as date,
-    floor(cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)) as value
+    floor(cast(sum(cast(floor(o_totalprice * 100 + 0.5) as bigint)) as double) / (count(*) * 100)) as value
   from orders group by 1)"""
 
 BY = "over (partition by ticker order by date"

@@ -7,7 +7,7 @@ the tables they read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.operators.lexicon import Rules
@@ -91,11 +91,15 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_mean(price: Column) -> Column:
+    cents = F.sum((price * 100 + 0.5).cast("long"))
+    return F.floor(cents / (F.count("*") * 100)).cast("double")
+
+
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of each brand per shipping day. The close is the mean price in whole
-    units, taken from an exact decimal sum, so it does not depend on row order."""
+    units, taken from an exact sum of cents, so it does not depend on row order."""
     price = F.col("l_extendedprice")
-    total = F.sum(price.cast("decimal(18,2)")).cast("double")
     lines = given(spark, sf_dir, "lineitem").join(
         given(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
@@ -104,7 +108,7 @@ def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.floor(total / F.count("*")).cast("double").alias("close"),
+        whole_mean(price).alias("close"),
         F.sum("l_quantity").cast("long").alias("volume"),
     )
 
@@ -127,11 +131,10 @@ def text_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily index: mean order price in whole units."""
-    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return (
         given(spark, sf_dir, "orders")
         .groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg(F.floor(total / F.count("*")).cast("double").alias("value"))
+        .agg(whole_mean(F.col("o_totalprice")).alias("value"))
     )
 
 

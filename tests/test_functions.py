@@ -8,6 +8,7 @@ from newsignal.functions import html, labels, text
 def test_strip_removes_what_python_strips(column_of):
     values = ["  a b  ", "　x\x0b", "\x1c\x1fy\x85", "z", " \t\r\n", " q "]
     assert column_of(values, text.strip) == [v.strip() for v in values]
+    assert sorted(text.SPACES) == [chr(i) for i in range(0x110000) if chr(i).isspace()]
 
 
 def test_sentinels_become_null(column_of):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsignal.operators import lexicon, mentions, reshape, scoring, tokens
+from newsignal.operators import candidates, lexicon, mentions, reshape, scoring, tokens
 
 D = date(2024, 1, 1)
 
@@ -51,7 +51,7 @@ def test_rules(spark):
 
 def test_long_lexicons_give_the_same_scores(spark, monkeypatch):
     listed = score(spark, list(CASES))
-    monkeypatch.setattr(lexicon, "LISTED_TERMS", 1)
+    monkeypatch.setattr(candidates, "LISTED_WORDS", 1)
     assert score(spark, list(CASES)) == listed
 
 
@@ -74,7 +74,9 @@ def test_daily_mean_and_attach(spark):
     assert {r.id: round(r.mean_polarity, 9) for r in lexicon.attach_daily_mean(df).collect()} == {1: 0.3, 2: 0.3, 3: -1.0}
 
 
-def test_mentions(spark):
+@pytest.mark.parametrize("listed", [1, 20_000])
+def test_mentions(spark, monkeypatch, listed):
+    monkeypatch.setattr(candidates, "LISTED_WORDS", listed)
     terms = mentions.term_table(
         spark,
         [("A", "Agil", "ticker"), ("T", "ATT", "ticker"), ("AT&T", "ATT", "company"), ("J.B. Hunt", "Hunt", "company")],
