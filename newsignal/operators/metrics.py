@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsignal.operators.ordered import totals_before
-from newsignal.session import materialise
+from newsignal.session import at_once, materialise
 
 
 def binary_metrics(
@@ -76,7 +76,9 @@ def describe(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0
     Quantiles are read off distributed running counts of the distinct values;
     no task holds a whole column.
     """
-    parts = [_describe_one(df, c, shares) for c in columns]
+    parts = at_once(
+        df.sparkSession, [partial(_describe_one, df, c, tuple(shares)) for c in columns]
+    )
     return reduce(DataFrame.unionByName, parts).select(
         "column", "count", "mean", "std", "min", *[f"p{round(s * 100)}" for s in shares], "max"
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
+from math import ceil
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsignal.operators.metrics import binary_metrics
+from newsignal.session import at_once
 
 # Last training day and first test day of the split by time.
 TRAIN_END = "2025-11-12"
 TEST_START = "2025-11-13"
 
+ROWS_PER_TASK = 250_000
+
 TEST_BELOW = "33"  # first two hex digits: 51 of 256 values, one fifth of the keys
 
 
@@ -58,9 +62,12 @@ def fit_linear_svm(
     """Hinge-loss linear SVM; `c` weighs the loss against the norm of the weights."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     ready = assembled.transform(train).select("_x", F.col(label).cast("double").alias("_y"))
+    rows = max(ready.count(), 1)
+    # Every step of the solver is a job over all partitions: small tables take few.
+    ready = ready.coalesce(ceil(rows / ROWS_PER_TASK))
     svm = LinearSVC(
         featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=tol, standardization=False,
-        regParam=1.0 / (c * max(train.count(), 1)),
+        regParam=1.0 / (c * rows),
     )
     return svm.fit(ready)
 
@@ -86,10 +93,10 @@ def model_report(
     split: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, max_iter: int = 100
 ) -> DataFrame:
     """(model, accuracy, auc): one classifier per feature set."""
-    rows = [
-        binary_metrics(
-            train_and_predict(split, features, label, max_iter), label, "decision"
-        ).withColumn("model", F.lit(name))
-        for name, features in feature_sets.items()
-    ]
+
+    def one(name: str, features: Sequence[str]) -> DataFrame:
+        predicted = train_and_predict(split, features, label, max_iter)
+        return binary_metrics(predicted, label, "decision").withColumn("model", F.lit(name))
+
+    rows = at_once(split.sparkSession, [partial(one, n, f) for n, f in feature_sets.items()])
     return reduce(DataFrame.unionByName, rows).select("model", "accuracy", "auc")

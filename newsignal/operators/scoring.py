@@ -82,7 +82,7 @@ class KeywordScorer:
 
 
 def text_classifier(
-    labelled: DataFrame, text: str, label: str, features: int = 1 << 16
+    labelled: DataFrame, text: str, label: str, features: int = 1 << 14, max_iter: int = 10
 ) -> PipelineModel:
     """A linear text model trained by Spark; scores without leaving the JVM."""
     stages = [
@@ -91,7 +91,7 @@ def text_classifier(
         IDF(inputCol="_counts", outputCol="_features"),
         LogisticRegression(
             featuresCol="_features", labelCol=label, probabilityCol="_probability",
-            rawPredictionCol="_margin", predictionCol="_prediction", maxIter=20, regParam=0.01,
+            rawPredictionCol="_margin", predictionCol="_prediction", maxIter=max_iter, regParam=0.01,
         ),
     ]
     return Pipeline(stages=stages).fit(labelled)

@@ -349,6 +349,8 @@ def model_features(spark, sf_dir):
     return materialise(model.hash_split(bars, "ticker", "date"))
 
 
+SVM_STEPS = 15
+
 FEATURE_SETS = {
     "No_Sentiment": ["close"],
     "Lexicon": ["close", "lexicon_mean"],
@@ -360,12 +362,12 @@ FEATURE_SETS = {
 def svm_predictions(spark, sf_dir):
     joined = polarity_by_stock(spark, sf_dir)
     split = materialise(model.hash_split(joined, "ticker", "date"))
-    out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement", 30)
+    out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement", SVM_STEPS)
     return out.select("doc_id", "ticker", "date", "movement", "decision", "prediction")
 
 
 def model_report(spark, sf_dir):
-    return model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement", 30)
+    return model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement", SVM_STEPS)
 
 
 def registered() -> dict[str, Query]:

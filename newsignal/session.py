@@ -6,6 +6,10 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +47,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(spark: SparkSession, steps: Sequence[Callable[[], DataFrame]], threads: int = 4) -> list[DataFrame]:
+    """Runs independent steps that start jobs of their own side by side."""
+    with ThreadPool(min(threads, max(len(steps), 1))) as pool:
+        return pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps)
