@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 ROWS_PER_SALT = 100_000
 
 
+def per_day(df: DataFrame) -> DataFrame:
+    """Marks a table grouped by `date` for broadcast.
+
+    A date column has under four million values (years 1 to 9999), which bounds
+    the table at some 50 MB; real calendars have thousands. Any other key type
+    has no such bound and is left to the planner.
+    """
+    return F.broadcast(df) if isinstance(df.schema["date"].dataType, DateType) else df
+
+
 def left_join_series(bars: DataFrame, series: DataFrame | None, name: str, value: str = "value") -> DataFrame:
     """Adds a daily series as column `name`; without a series it is NULL.
 
@@ -40,7 +51,8 @@ def join_by_day(
     it lacks are treated as quiet.
     """
     sizes = day_sizes(articles) if sizes is None else sizes
-    days = sizes.select("date", F.ceil(F.col("articles") / rows_per_salt).cast("int").alias("_salts"))
+    salts = F.ceil(F.max("articles") / rows_per_salt).cast("int")
+    days = per_day(sizes.groupBy("date").agg(salts.alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     left = (
         articles.join(days, "date", "left")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.operators.candidates import listed_words, positions
+from newsignal.operators.joins import per_day
 
 TOKEN_BREAK = r"[^\p{L}']+"
 SHOUTED = r"^\p{Lu}{2,}$"
@@ -212,8 +213,7 @@ def daily_mean(scored: DataFrame, score: str = "lexicon_polarity", name: str = "
 def attach_daily_mean(scored: DataFrame, score: str = "lexicon_polarity", name: str = "mean_polarity") -> DataFrame:
     """Every article with the mean of its day.
 
-    The mean is aggregated first and joined back: one row per calendar day,
-    which the planner broadcasts by size. A window would put a busy day's
-    articles into one task.
+    The mean is aggregated first and joined back as one row per calendar day. A
+    window would put a busy day's articles into one task.
     """
-    return scored.join(daily_mean(scored, score, name), "date")
+    return scored.join(per_day(daily_mean(scored, score, name)), "date")

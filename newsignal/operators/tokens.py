@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD_TERMS = 10_000
+HEAD_LENGTH = 100
 
 
 def token_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -39,16 +40,18 @@ def vocabulary(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", head: int = HEAD_TERMS) -> DataFrame:
     """(key, pos, token_id) for every token of every text.
 
-    The `head` most frequent terms, a bounded table, are broadcast, so that
-    common words are never shuffled. What is left is shuffled by term.
+    The `head` most frequent terms of ordinary length, a table of bounded size,
+    are broadcast, so that common words are never shuffled. The rest is
+    shuffled by term; none of those is frequent.
     """
     ids = vocab.select("term", "token_id")
-    common = F.broadcast(ids.where(F.col("token_id") < head))
+    in_head = (F.col("token_id") < head) & (F.length("term") <= HEAD_LENGTH)
+    common = F.broadcast(ids.where(in_head))
     known = token_rows(df, key, text).join(common, "term", "left")
     rare = (
         known.where("token_id is null")
         .drop("token_id")
-        .join(ids.where(F.col("token_id") >= head), "term")
+        .join(ids.where(~in_head), "term")
     )
     return (
         known.where("token_id is not null")

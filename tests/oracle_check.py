@@ -15,6 +15,16 @@ import pandas as pd
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+TYPES = {
+    "bigint": ("BIGINT", "NUMBER"),
+    "int": ("INTEGER", "NUMBER"),
+    "double": ("DOUBLE", "NUMBER"),
+    "string": ("VARCHAR", "STRING"),
+    "date": ("DATE", "DATETIME"),
+    "boolean": ("BOOLEAN", "BOOL"),
+}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for file in sorted(os.listdir(sf_dir)):
@@ -46,6 +56,14 @@ def compare(spark_df, con, sql) -> str | None:
     theirs = cursor.fetchall()
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(names)}"
+    types = dict(zip(names, [str(d[1]).upper() for d in cursor.description]))
+    odd = [
+        (f.name, f.dataType.simpleString(), types[f.name])
+        for f in spark_df.schema
+        if types[f.name] not in TYPES[f.dataType.simpleString()]
+    ]
+    if odd:
+        return f"types differ: {odd}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows against {len(theirs)}"
     a, b = canonical(mine, spark_df.columns), canonical(theirs, names)
