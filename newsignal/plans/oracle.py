@@ -295,8 +295,8 @@ select doc_id, date, exception_flag, md5(text) as text_md5, round(lexicon_polari
 from cleaned join polarity using (doc_id, date) join daily using (date)""",
         "dedupe_articles": "select min(doc_id) as doc_id, lang, md5(text) as text_md5 from documents group by lang, text",
         "null_profile": f"""with {RAW}, t as (select doc_id, date, case when text in ('', 'None') then null else text end as text from raw)
-select count(*) as row_count, count_if(doc_id is null) as doc_id_nulls, count_if(date is null) as date_nulls,
-  count_if(text is null) as text_nulls from t""",
+select count(*) as row_count, count(*) - count(doc_id) as doc_id_nulls, count(*) - count(date) as date_nulls,
+  count(*) - count(text) as text_nulls from t""",
         "describe_numeric": " union all ".join(
             describe_one(c) for c in ("l_quantity", "l_extendedprice", "l_discount")
         ),
