@@ -11,6 +11,7 @@ from newsignal.functions.labels import five_way, signed, three_way
 from newsignal.operators.cleaning import clean_articles
 from newsignal.operators.lexicon import Rules, attach_daily_mean, lexicon_polarity
 from newsignal.operators.reshape import to_long
+from newsignal.session import materialise
 
 LONG_IDS = ("date", "exception_flag", "finance_flag")
 LONG_VALUES = ("lexicon_polarity", "mean_polarity", "polarity_class")
@@ -33,9 +34,10 @@ def scored_articles(
     """Clean, score, average per day and classify.
 
     `scorers` add their own columns, for example `scoring.score_text` with a
-    model bound to it. The wide text columns are joined to the scores by key.
+    model bound to it. The cleaned articles are written once, because both the
+    scores and the wide rows they are joined to come from them.
     """
-    clean = clean_articles(raw, key)
+    clean = materialise(clean_articles(raw, key))
     polarity = polarity_table(clean, lexicon, key, rules)
     wide = clean.join(attach_daily_mean(polarity).drop("date"), key)
     for add in scorers:
