@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -16,6 +17,8 @@ SPACES = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+CHAINED_TERMS = 12
+
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -70,12 +73,16 @@ def words(text: Column) -> Column:
 def contains_any(text: Column, terms: Iterable[str], ignore_case: bool = False) -> Column:
     """True where the text contains any term as a substring.
 
-    A chain of `contains` short-circuits and stays in generated code; a regex
-    alternation would try every branch at every position.
+    A few terms are a chain of `contains`. Many terms are one alternation behind
+    a look at the next character, so that most positions cost a single test.
     """
     if ignore_case:
         text, terms = F.lower(text), [t.lower() for t in terms]
-    return reduce(Column.__or__, [text.contains(t) for t in terms], F.lit(False))
+    terms = list(terms)
+    if len(terms) <= CHAINED_TERMS or "" in terms:
+        return reduce(Column.__or__, [text.contains(t) for t in terms], F.lit(False))
+    starts = "".join(sorted({re.escape(t[0]) for t in terms}))
+    return text.rlike(f"(?=[{starts}])(?:{'|'.join(map(re.escape, terms))})")
 
 
 def number(text: Column, kind: str = "double") -> Column:

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsignal.functions import html, labels, text
@@ -38,6 +39,16 @@ def test_contains_any_case(column_of):
     assert column_of(["in Iowa", "iowa", "estée", ""], lambda c: text.contains_any(c, terms, True)) == [True, True, True, False]
 
 
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_long_term_lists_match_alike(column_of, monkeypatch, ignore_case):
+    terms = ["a.b", "[x]", "c d", "-e", "^f", "g\\\\", "&&", "É", "h|i", "$", "😀j", "k]"]
+    values = ["aXb", "A.B", "[X]", "c d", "-e", "^", "f", "g\\\\", "&&", "é", "h", "h|I", "$", "😀J", "😀j", "K]", "", None]
+    monkeypatch.setattr(text, "CHAINED_TERMS", 100)
+    chain = column_of(values, lambda c: text.contains_any(c, terms, ignore_case))
+    monkeypatch.setattr(text, "CHAINED_TERMS", 1)
+    assert column_of(values, lambda c: text.contains_any(c, terms, ignore_case)) == chain
+
+
 def test_polarity_classes(column_of):
     values = [-1.0, -0.5, -0.1, 0.0, 0.1, 0.5, 0.51, None]
     assert column_of(values, labels.five_way, "double") == [
