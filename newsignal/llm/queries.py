@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsignal.llm import near_dups
+from newsignal.llm import language, near_dups
 from newsignal.llm.common import table
 
 
@@ -14,9 +15,24 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 1
+    model = language.train(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "language.lang_pred",
+        "language.score",
+        "language.rejected",
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_near_duplicates": op6_near_duplicates,
+        "op8_language_id": op8_language_id,
     }
 
 
