@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import decontaminate, language, near_dups, sql
+from newsignal.llm import decontaminate, language, near_dups, sql, warc
 from newsignal.llm.common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    records = warc.checked(warc.read_archives(written))
+
+    def page(name: str):
+        return F.regexp_extract(name, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+
+    return records.select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words()
@@ -44,6 +60,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
         "op8_language_id": op8_language_id,
@@ -52,5 +69,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle() -> dict[str, str]:
     return {
+        "op3_warc": sql.WARC,
         "op5_decontaminate": sql.DECONTAMINATE,
     }

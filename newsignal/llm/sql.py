@@ -35,3 +35,16 @@ select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_
     coalesce(n_hit, 0) > 0 as contaminated
 from words left join covered using (rid) left join named using (rid)
 """
+
+WARC = """
+with payloads as (
+    select page_id, coalesce(html, '') as payload from pages
+), firsts as (
+    select payload, min(page_id) as first from payloads
+    where strlen(payload) >= 100 and page_id is not null group by payload
+)
+select page_id, strlen(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
+    case when page_id <> first then 'revisit' else 'response' end as record_type,
+    case when page_id <> first then first end as refers_to
+from payloads left join firsts using (payload)
+"""
