@@ -341,7 +341,7 @@ def write_archives(
                     if stream is not None:
                         stream.close()
                     name = f"{uuid.uuid4().hex}{SUFFIX}"
-                    stream, written = files.open_output_stream(f"{place}/{name}"), 0
+                    stream, written = files.open_output_stream(f"{place}/{name}", compression=None), 0  # no second compression
                     paths.append(f"{folder}/{name}")
                     counts.append(0)
                     if dictionary:
