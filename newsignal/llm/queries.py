@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import decontaminate, language, near_dups, sql, warc
+from newsignal.llm import decontaminate, language, near_dups, quality, sql, warc
 from newsignal.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
     records = warc.checked(warc.read_archives(written))
@@ -60,6 +64,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op3_warc": op3_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
@@ -69,6 +74,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle() -> dict[str, str]:
     return {
+        "op1_quality_rules": sql.QUALITY,
         "op3_warc": sql.WARC,
         "op5_decontaminate": sql.DECONTAMINATE,
     }

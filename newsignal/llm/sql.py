@@ -48,3 +48,76 @@ select page_id, strlen(payload)::bigint as payload_bytes, sha256(payload) as pay
     case when page_id <> first then first end as refers_to
 from payloads left join firsts using (payload)
 """
+
+QUALITY = r"""
+with docs as (
+    select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents
+), words as (
+    select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs
+), grams as (
+    select rid, p, array_to_string(w[p : p + 7], ' ') as g
+    from (select rid, w, unnest(range(1, len(w) - 6)) as p from words where len(w) >= 8)
+), twice as (
+    select rid, g from grams group by rid, g having count(*) > 1
+), repeats as (
+    select rid, count(distinct q) as n from (
+        select rid, unnest(range(p, p + 8)) as q from grams join twice using (rid, g)) group by rid
+), lines as (
+    select rid, count(*) as n, count(*) - count(distinct x) as dup from (
+        select rid, unnest(string_split(text, chr(10))) as x from docs)
+    where regexp_matches(x, '[^\x20\x09-\x0D]') group by rid
+), counted as (
+    select rid, doc_id, lang, source, len(w)::bigint as n_words,
+        coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g')))::bigint as n_capitals,
+        coalesce(l.n, 0) as n_lines, coalesce(l.dup, 0)::bigint as n_dup_lines,
+        coalesce(r.n, 0)::bigint as n_repeat_words
+    from docs join words using (rid) left join lines l using (rid) left join repeats r using (rid)
+), facts as (
+    select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+        word_chars * 1000 // greatest(n_words, 1) as word_length, n_symbols * 1000 // greatest(n_words, 1) as symbols,
+        n_capitals * 1000 // greatest(n_words, 1) as capitals, n_repeat_words * 1000 // greatest(n_words, 1) as repeated,
+        n_dup_lines * 1000 // greatest(n_lines, 1) as duplicate_lines
+    from counted
+), measured as (
+    select rid, lang, source, unnest([
+        {'m': 'word_length', 'v': word_length, 's': 500, 'o': 1}, {'m': 'symbols', 'v': symbols, 's': 50, 'o': 2},
+        {'m': 'capitals', 'v': capitals, 's': 100, 'o': 3}, {'m': 'repeated', 'v': repeated, 's': 50, 'o': 4},
+        {'m': 'duplicate_lines', 'v': duplicate_lines, 's': 50, 'o': 5}], recursive := true)
+    from facts where not base_failed
+), sketch as (
+    select lang, source, m, s, case when v > 0 then ceil(ln(v) / ln(1.02)) else -1 end::int as b, count(*) as n
+    from measured group by all
+), merged as (
+    select 1 as level, lang, source, m, s, b, sum(n) as n from sketch group by all
+    union all select 2, lang, null, m, s, b, sum(n) from sketch group by all
+    union all select 3, null, null, m, s, b, sum(n) from sketch group by all
+), ranked as (
+    select *, case when b < 0 then 0 else 2 * pow(1.02, b) / 2.02 end as v,
+        sum(n) over (partition by level, lang, source, m order by b) as upto,
+        sum(n) over (partition by level, lang, source, m) as rows
+    from merged
+), quartiles as (
+    select level, lang, source, m, s, max(rows) as rows, min(v) filter (upto >= rows * 0.25) as q1,
+        min(v) filter (upto >= rows * 0.75) as q3
+    from ranked group by all
+), fences as (
+    select *, q1 - 4 * greatest(q3 - q1, s) as low, q3 + 4 * greatest(q3 - q1, s) as high from quartiles
+), limits as (
+    select f.lang, f.source, f.m,
+        case when f.rows >= 200 then f.low when l.rows >= 200 then l.low else e.low end as low,
+        case when f.rows >= 200 then f.high when l.rows >= 200 then l.high else e.high end as high
+    from fences f join fences l on l.level = 2 and f.lang is not distinct from l.lang and f.m = l.m
+        join fences e on e.level = 3 and e.m = f.m
+    where f.level = 1
+), broken as (
+    select rid, string_agg(x.m, ',' order by x.o) as rules
+    from measured x join limits l
+        on x.lang is not distinct from l.lang and x.source is not distinct from l.source and x.m = l.m
+    where v > high or (x.m = 'word_length' and v < low) group by rid
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and rules is null as kept, coalesce(rules, '') as failed_rules
+from facts left join broken using (rid)
+"""
