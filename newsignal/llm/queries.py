@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import decontaminate, language, near_dups, quality, sql, warc
+from newsignal.llm import decontaminate, language, line_dedup, near_dups, quality, sql, warc
 from newsignal.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -69,6 +74,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
         "op8_language_id": op8_language_id,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
@@ -77,4 +83,5 @@ def oracle() -> dict[str, str]:
         "op1_quality_rules": sql.QUALITY,
         "op3_warc": sql.WARC,
         "op5_decontaminate": sql.DECONTAMINATE,
+        "op9_line_dedup": sql.LINES,
     }

@@ -121,3 +121,61 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     not base_failed and rules is null as kept, coalesce(rules, '') as failed_rules
 from facts left join broken using (rid)
 """
+
+LINES = r"""
+with texts as (
+    select distinct text from documents where text is not null
+), split as (
+    select text, unnest(string_split(text, chr(10))) as line,
+        unnest(range(len(string_split(text, chr(10))))) as p from texts
+), cut as (
+    select text, p, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+        lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
+    from split
+), lines as (
+    select text, p, length(line) as size, tokens, struct_pack(n := len(tokens), h := tokens[1:3]) as leaf
+    from cut where len(tokens) >= 4
+), leaves as (
+    select leaf from lines group by leaf having count(distinct text) >= 5
+), often as (
+    select * from lines semi join leaves using (leaf)
+), kinds as (
+    select leaf, tokens, count(distinct text) as docs from often group by leaf, tokens
+), counted as (
+    select leaf, q, token, sum(docs) as n
+    from (select leaf, docs, unnest(tokens) as token, unnest(range(len(tokens))) as q from kinds) group by all
+), modes as (
+    select leaf, q, case when 2 * n >= total then token else '<*>' end as t from (
+        select *, sum(n) over (partition by leaf, q) as total,
+            row_number() over (partition by leaf, q order by n desc, token) as r from counted)
+    where r = 1
+), shapes as (
+    select leaf, list(t order by q) as shape from modes group by leaf
+), templates as (
+    select leaf, tokens, case when agree >= 0.6 * len(tokens) then shape else tokens end as template,
+        agree >= 0.6 * len(tokens) as shared
+    from (select *, len(list_filter(list_zip(tokens, shape), lambda x: x[1] = x[2] and x[2] <> '<*>')) as agree
+        from kinds join shapes using (leaf))
+), placed as (
+    select text, p, size, leaf, template, shared from often join templates using (leaf, tokens)
+), recur as (
+    select leaf, template, shared from placed group by all having count(distinct text) >= 5
+), first as (
+    select * from placed semi join recur using (leaf, template, shared)
+), copied as (
+    select text from first group by text having sum(size) > 0.5 * length(text)
+), final as (
+    select leaf, template, shared from first anti join copied using (text)
+    group by all having count(distinct text) >= 5
+), dropped as (
+    select text, p from first semi join final using (leaf, template, shared)
+), result as (
+    select text, count(*) as n_lines, count(d.p) as n_dropped,
+        case when count(d.p) = 0 then text
+            else coalesce(string_agg(line, chr(10) order by p) filter (d.p is null), '') end as kept_text
+    from split left join dropped d using (text, p) group by text
+)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped,
+    kept_text as text
+from documents left join result using (text)
+"""
