@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import decontaminate, language, line_dedup, near_dups, quality, sql, warc
+from newsignal.llm import decontaminate, language, line_dedup, mixing, near_dups, quality, sql, warc
 from newsignal.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
     records = warc.checked(warc.read_archives(written))
@@ -70,6 +74,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_mix_sources": op2_mix_sources,
         "op3_warc": op3_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
@@ -81,6 +86,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle() -> dict[str, str]:
     return {
         "op1_quality_rules": sql.QUALITY,
+        "op2_mix_sources": sql.mixing(
+            mixing.TOPICS, mixing.OTHER, {"source": 0.7, "lang": 0.8, "topic": 0.9}, 0.5, 25, "mix"
+        ),
         "op3_warc": sql.WARC,
         "op5_decontaminate": sql.DECONTAMINATE,
         "op9_line_dedup": sql.LINES,

@@ -179,3 +179,55 @@ select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::
     kept_text as text
 from documents left join result using (text)
 """
+
+
+def mixing(topics: dict[str, tuple[str, ...]], other: str, powers: dict[str, float], share: float, sweeps: int, seed: str) -> str:
+    """The raking unrolled: one step for each sweep and dimension."""
+    listed = ", ".join(f"('{w}', '{t}', {i})" for i, (t, words) in enumerate(topics.items()) for w in words)
+    steps, last = [], "start"
+    for sweep in range(sweeps):
+        for dimension in powers:
+            name = f"s{sweep}_{dimension}"
+            steps.append(
+                f"{name} as materialized (select source, lang, topic, tokens, case when now > 0 then"
+                f" weight * coalesce(target, 0) / now else 0 end as weight from (select *, sum(weight) over"
+                f" (partition by {dimension}) as now from {last}) left join target_{dimension} on {dimension} = value)"
+            )
+            last = name
+    targets = ", ".join(
+        f"target_{d} as materialized (select {d} as value, pow(sum(tokens), {p}) / sum(pow(sum(tokens), {p})) over () as target"
+        f" from cells where tokens > 0 group by {d})"
+        for d, p in powers.items()
+    )
+    return rf"""
+with topic_words(word, topic, rank) as (
+    values {listed}
+), docs as (
+    select row_number() over () as rid, doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents
+), hits as (
+    select rid, topic, rank, count(*) as n
+    from (select rid, lower(regexp_replace(unnest(w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')) as word from docs)
+    join topic_words using (word) group by all
+), topical as (
+    select rid, arg_max(topic, (n, -rank)) as topic from hits group by rid
+), facts as (
+    select doc_id, source, lang, coalesce(topic, '{other}') as topic, len(w)::bigint as n_tokens
+    from docs left join topical using (rid)
+), cells as materialized (
+    select source, lang, topic, sum(n_tokens) as tokens from facts group by all
+), {targets}, start as (
+    select *, tokens::double as weight from cells
+), {", ".join(steps)}, scale as (
+    select least(1 / max(weight / tokens) filter (tokens > 0), {share} * sum(tokens) / sum(weight)) as scale from {last}
+), rates as (
+    select source, lang, topic, round(weight, 7) as weight,
+        round(case when tokens > 0 then least(weight / tokens * scale, 1) else 0 end, 7) as probability
+    from {last}, scale
+)
+select doc_id, source, lang, topic, n_tokens, weight, probability,
+    n_tokens > 0 and (('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5)
+        / 4503599627370496 < probability as sampled
+from facts join rates using (source, lang, topic)
+"""
