@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import decontaminate, language, line_dedup, mixing, near_dups, quality, sql, warc
+from newsignal.llm import chat, decontaminate, language, line_dedup, mixing, near_dups, quality, sql, warc
 from newsignal.llm.common import table
 
 
@@ -71,6 +71,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    turns = turns.unionByName(added).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digests(chat.format_turns(turns)).withColumnRenamed("conv", "conv_id")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -80,6 +88,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_duplicates": op6_near_duplicates,
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
+        "op10_chat_format": op10_chat_format,
     }
 
 
@@ -92,4 +101,5 @@ def oracle() -> dict[str, str]:
         "op3_warc": sql.WARC,
         "op5_decontaminate": sql.DECONTAMINATE,
         "op9_line_dedup": sql.LINES,
+        "op10_chat_format": sql.CHAT,
     }

@@ -231,3 +231,23 @@ select doc_id, source, lang, topic, n_tokens, weight, probability,
         / 4503599627370496 < probability as sampled
 from facts join rates using (source, lang, topic)
 """
+
+CHAT = r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role = 'assistant' as learned
+    from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]', false
+    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', true
+), sized as (
+    select *, length(text) + length(role) + 17 + len(regexp_extract_all(text, '<\\*(\||/?s>)|\[\\*/?INST\]'))
+        + len(regexp_extract_all(role, '<\\*(\||/?s>)|\[\\*/?INST\]'))
+        + 5 * (length(role) - length(replace(role, chr(10), ''))) as chars
+    from turns
+)
+select conv_id, count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (learned), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (learned), '')) as loss_sha256,
+    sum(chars)::bigint as formatted_chars
+from sized group by conv_id
+"""
