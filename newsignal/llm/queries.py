@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import chat, decontaminate, language, line_dedup, mixing, near_dups, quality, sql, warc
+from newsignal.llm import chat, decontaminate, language, line_dedup, mixing, near_dups, pii, quality, sql, warc
 from newsignal.llm.common import table
 
 
@@ -52,6 +52,24 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("email"),
+        count("ip"),
+        count("card"),
+        count("phone"),
+        F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.fold(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 1
@@ -86,6 +104,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
