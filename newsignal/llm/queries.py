@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import chat, decontaminate, language, line_dedup, mixing, near_dups, pii, quality, sql, warc
+from newsignal.llm import chat, decontaminate, importance, language, line_dedup, mixing, near_dups, pii, quality, sql, warc
 from newsignal.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean labelled documents are the target; as many are sampled as are of good quality by the labels."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    good = labels.agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
+    target = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
+    return importance.importance_sample(table(spark, sf_dir, "documents"), target, good or 0.0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words()
@@ -102,6 +110,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_mix_sources": op2_mix_sources,
         "op3_warc": op3_warc,
+        "op4_importance_resampling": op4_importance_resampling,
         "op5_decontaminate": op5_decontaminate,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_pii": op7_pii,
