@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsignal.llm.common import unused
 from newsignal.session import materialise
 
 WINDOW = 10
@@ -276,6 +277,15 @@ def contamination(
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs`, all their columns, whose text holds no window of an item; NULL texts stay."""
+    key, bad = unused(docs, "digest"), unused(docs, "bad")
+    keyed = docs.withColumn(key, F.sha2(F.col(text_col), 256))
+    found = contamination(keyed, items, id_col=key, text_col=text_col, **settings)
+    hit = materialise(found.where(F.size("spans") > 0).select(F.col(key).alias(bad)).distinct())
+    return keyed.join(hit, F.col(key) == F.col(bad), "left_anti").drop(key)
+
+
 def hit_words(spans: str = "spans"):
     """The number of words that the spans cover."""
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

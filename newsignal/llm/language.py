@@ -195,13 +195,12 @@ def train(
     return LanguageModel(languages, scores, bias, temperature, threshold)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """`docs` with the struct column `language`: lang_pred, score, rejected.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
+    """`docs` with the struct column `out`: lang_pred, score, rejected.
 
     Reads the text only, and all of it. Texts that are NULL or hold no letter
     get `und`, 0 and are rejected. A score below the model's threshold rejects
-    too. Rows, order and other columns stay; an own column `language` is
-    replaced.
+    too. Rows and other columns stay; an own column `out` is replaced.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -217,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             }
         )
 
-    return docs.withColumn("language", predict(F.col(text_col)))
+    return docs.withColumn(out, predict(F.col(text_col)))
 
 
 def fold(id_column: Column) -> Column:

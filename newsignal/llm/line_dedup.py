@@ -107,8 +107,10 @@ def recurring_lines(
     )
 
 
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
-    """`docs` with the text cut, and the columns n_lines and n_dropped.
+def drop_recurring_lines(
+    docs: DataFrame, text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", **settings
+) -> DataFrame:
+    """`docs` with the text cut, and the columns `n_lines` and `n_dropped`.
 
     Lines are split at newlines. The tree has a fixed depth: token count, then
     the first `depth` tokens, tokens with digits being variable. Lines of fewer
@@ -117,8 +119,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **settings) ->
     changed.
 
     A NULL text stays NULL with 0 lines, an empty one has one line. Equal texts
-    are counted once and get equal results. Own columns n_lines and n_dropped
-    are replaced; other columns are passed through.
+    are counted once and get equal results. Own columns of the two names are
+    replaced; other columns are passed through.
     """
     found = recurring_lines(docs.select(F.col(text_col).alias("text")), **settings)
     digest, positions = unused(docs, "digest"), unused(docs, "positions")
@@ -132,9 +134,9 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **settings) ->
 
     out = joined.withColumns(
         {
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_dropped": F.coalesce(F.size(F.col(positions)), F.lit(0)).cast("long"),
+            n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            n_dropped: F.when(F.col(positions).isNull(), 0).otherwise(F.size(F.col(positions))).cast("long"),
         }
-    ).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    )
     changed = F.when(F.col(positions).isNull(), F.col(text_col)).otherwise(same(lines, "t", without))
     return out.withColumn(text_col, changed).drop(digest, positions)

@@ -406,13 +406,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **setti
     Of repeated rows of the one that stays, one row stays. Rows without an id
     or without words stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **settings)
+    found = materialise(near_duplicates(docs, id_col, text_col, **settings))
     gone = unused(docs, "gone")
     lost = found.where("not kept").select(F.col(id_col).alias(gone)).distinct()
     stay = docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
     again = (
         found.where(F.col("kept") & (F.col("n_shingles") > 0))
-        .groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias(gone)).dropna()
+        .groupBy(id_col)
+        .count()
+        .where(F.col(id_col).isNotNull() & (F.col("count") > 1))
+        .select(F.col(id_col).alias(gone))
     )
-    once = stay.join(again, F.col(id_col) == F.col(gone), "left_semi").dropDuplicates([id_col])
+    once = stay.join(again, F.col(id_col) == F.col(gone), "left_semi").dropDuplicates([id_col, text_col])
     return stay.join(again, F.col(id_col) == F.col(gone), "left_anti").unionByName(once)
