@@ -82,7 +82,11 @@ def recurring_lines(
     leaves = materialise(
         lines.select("leaf", "digest").distinct().groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
     )
-    tokens = F.transform(tokens_of(F.col("line")), masked)
+    def fields(tokens: Column) -> Column:
+        plain = F.filter(tokens, lambda t: ~t.rlike("[0-9]"))
+        return F.when(F.size(plain) >= similarity * F.size(tokens), F.transform(tokens, masked)).otherwise(tokens)
+
+    tokens = same(tokens_of(F.col("line")), "tokens", fields)
     often = materialise(
         lines.join(leaves, "leaf").select("digest", "position", "size", "leaf", tokens.alias("tokens"))
         .withColumn("code", F.xxhash64("tokens"))
@@ -113,8 +117,10 @@ def drop_recurring_lines(
     """`docs` with the text cut, and the columns `n_lines` and `n_dropped`.
 
     Lines are split at newlines. The tree has a fixed depth: token count, then
-    the first `depth` tokens, tokens with digits being variable. Lines of fewer
-    than `least_tokens` tokens stay. See `recurring_lines` for what recurs.
+    the first `depth` tokens, tokens with digits being variable. In a line of
+    too few other tokens, as in a table of numbers, no token is variable. Lines
+    of fewer than `least_tokens` tokens stay. See `recurring_lines` for what
+    recurs.
     Lines that stay keep their order; a text without a dropped line is not
     changed.
 

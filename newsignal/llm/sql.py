@@ -129,12 +129,14 @@ with texts as (
     select text, unnest(string_split(text, chr(10))) as line,
         unnest(range(len(string_split(text, chr(10))))) as p from texts
 ), cut as (
-    select text, p, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
-        lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
-    from split
+    select text, p, line, raw, list_transform(raw,
+        lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as masked
+    from (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as raw from split)
 ), lines as (
-    select text, p, length(line) as size, tokens, struct_pack(n := len(tokens), h := tokens[1:3]) as leaf
-    from cut where len(tokens) >= 4
+    select text, p, length(line) as size, struct_pack(n := len(raw), h := masked[1:3]) as leaf,
+        case when len(list_filter(raw, lambda t: not regexp_matches(t, '[0-9]'))) >= 0.6 * len(raw)
+            then masked else raw end as tokens
+    from cut where len(raw) >= 4
 ), leaves as (
     select leaf from lines group by leaf having count(distinct text) >= 5
 ), often as (

@@ -1,0 +1,100 @@
+import re
+
+import pytest
+from newsignal.llm import near_dups, queries
+from texts import prose
+
+
+def sets_of(text, width):
+    words = re.findall("[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    width = min(width, len(words))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def brute(rows, width, percent=80):
+    """component of each id by comparing all pairs."""
+    sets = [(i, sets_of(t, width)) for i, t in rows if i is not None]
+    top = {i: i for i, _ in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((find(i), find(j)))
+                top[high] = low
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+def edited(words, changes, seed):
+    import random
+
+    rng = random.Random(seed)
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"e{seed}_{at}"
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def groups():
+    """Copies at many distances, also chains whose ends are not similar."""
+    rows = [(i, prose(i, 40 + 7 * i)) for i in range(20)]
+    base = prose(100, 120).split()
+    rows += [(100 + k, edited(base, k % 9, k)) for k in range(40)]
+    chain = list(prose(200, 100).split())
+    for step in range(12):
+        rows.append((200 + step, " ".join(chain)))
+        chain[step * 6 : step * 6 + 4] = [f"c{step}_{k}" for k in range(4)]
+    rows += [(300, "Only One"), (301, "only one"), (302, "one"), (303, "ONE"), (304, None), (305, "  ")]
+    return rows
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_equals_all_pairs(documents, groups, width):
+    found = near_dups.near_duplicates(documents(groups), shingle=width)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == brute(groups, width)
+
+
+def test_small_chunks_lose_no_link(documents, groups, monkeypatch):
+    monkeypatch.setattr(near_dups, "CHUNK_ROWS", 3)
+    found = near_dups.near_duplicates(documents(groups), shingle=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(groups, 2)
+
+
+def test_components_by_stars(spark):
+    links = [(i + 1, i) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
+    found = near_dups.components(spark.createDataFrame(links, "a long, b long"))
+    roots = {r.id: r.root for r in found.collect()}
+    assert {roots[i] for i in range(1, 41)} == {0}
+    assert {roots[i] for i in range(101, 130)} == {100}
+
+
+def test_odd_rows(documents, odd_rows):
+    found = near_dups.near_duplicates(documents(odd_rows))
+    assert found.count() == len(odd_rows)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found.collect()}
+    assert (None, 0, None, True) in got and (None, 56, None, True) in got
+    assert (1, 0, 1, True) in got and (4, 1, 4, True) in got
+    assert near_dups.near_duplicates(documents([])).count() == 0
+
+
+def test_one_row_of_a_group_stays(documents, odd_rows):
+    docs = documents(odd_rows + [(8, odd_rows[6][1].upper(), "en", "a", 1)]).withColumnRenamed("n_chars", "gone")
+    left = near_dups.without_near_duplicates(docs, "doc_id", "text")
+    assert left.columns == docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7] and ids.count(None) == 2
+
+
+def test_query_equals_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = queries.op6_near_duplicates(spark, sf)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 2)
