@@ -77,28 +77,33 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int, toler
     """`cells` with `weight`, the share of tokens that the mix gives to a cell; weights sum to 1.
 
     One sweep scales the cells to the marginals of each dimension in turn. It
-    stops when no marginal is off by more than `tolerance`, or after `sweeps`;
-    cells whose value has no target get 0. The cells stay a distributed table;
-    the driver sees one number a sweep.
+    stops when a sweep met no marginal off by more than `tolerance`, or after
+    `sweeps`; cells whose value has no target get 0. The cells carry their
+    targets and stay a distributed table; the driver sees one number a sweep.
     """
     weighted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        named = target.select(F.col("value").alias(dimension), F.col("target").alias(f"target_{dimension}"))
+        weighted = weighted.join(named, dimension, "left")
+    weighted = materialise(weighted.na.fill(0.0, [f"target_{d}" for d in targets]))
     for _ in range(sweeps):
-        for dimension, target in targets.items():
-            now = weighted.groupBy(dimension).agg(F.sum("weight").alias("now"))
-            factor = now.join(target.withColumnRenamed("value", dimension), dimension, "left").select(
-                dimension, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor")
+        weighted = weighted.withColumn("off", F.lit(0.0))
+        for dimension in targets:
+            now, target = F.sum("weight"), F.max(f"target_{dimension}")
+            marginal = weighted.groupBy(dimension).agg(
+                F.when(now > 0, target / now).otherwise(0.0).alias("factor"), F.abs(now - target).alias("off_here")
+            )
+            weighted = (
+                weighted.join(marginal, dimension)
+                .withColumn("weight", F.col("weight") * F.col("factor"))
+                .withColumn("off", F.greatest("off", "off_here"))
+                .drop("factor", "off_here")
             )
-            weighted = weighted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         weighted = materialise(weighted)
-        off = None
-        for dimension, target in targets.items():
-            now = weighted.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("now"))
-            one = now.join(target, "value").agg(F.max(F.abs(F.col("now") - F.col("target"))).alias("off"))
-            off = one if off is None else off.unionByName(one)
-        worst = off.agg(F.max("off")).first()[0]
+        worst = weighted.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return weighted
+    return weighted.drop("off", *[f"target_{d}" for d in targets])
 
 
 def calibrated(weighted: DataFrame, share: float) -> DataFrame:
