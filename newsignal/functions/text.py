@@ -95,8 +95,8 @@ def number(text: Column, kind: str = "double") -> Column:
 
 
 def day(text: Column) -> Column:
-    """Date of the first ten characters (YYYY-MM-DD), dropping time and zone."""
-    return F.substring(text, 1, 10).try_cast("date")
+    """Date of a text YYYY-MM-DD, with or without time and zone; NULL when it is not one."""
+    return text.try_cast("date")
 
 
 def compact_day(digits: Column) -> Column:

@@ -76,12 +76,12 @@ def clean_articles(
     """Missing and error pages out, copies out, trimmed text added.
 
     `trimmed_text` is the first `trim_to` characters without outer white space;
-    `text` stays whole. Rows whose trimmed text is blank go. Trimming only
+    `text` stays whole. Rows whose whole text is blank go. Trimming only
     depends on the text, so one removal of copies serves before and after it.
     """
     kept = drop_error_pages(drop_missing(df, text), text)
     trimmed = strip(F.substring(text, 1, trim_to))
-    return dedupe(kept.where(trimmed != ""), key, wide=[text]).withColumn("trimmed_text", trimmed)
+    return dedupe(kept.where(strip(F.col(text)) != ""), key, wide=[text]).withColumn("trimmed_text", trimmed)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -43,15 +43,18 @@ def finance_flag(df: DataFrame, terms: Sequence[str], text: str = "text") -> Dat
 
 
 def entity_mentions(
-    df: DataFrame, terms: DataFrame, key: str, text: str = "text", longest: int = 5
+    df: DataFrame, terms: DataFrame, key: str, text: str = "text", longest: int | None = None
 ) -> DataFrame:
     """(key, entity, mentions): whole-word mentions of dictionary terms.
 
     Words of text and terms are cut alike. Tickers match with their case, other
     kinds ignore it. Candidate tokens carry the words that follow them and meet
-    the dictionary on the first word; counts are combined before the shuffle. Terms
-    of more than `longest` words are refused rather than missed.
+    the dictionary on the first word; counts are combined before the shuffle. The
+    longest term is read from the dictionary; terms of more than a given
+    `longest` are refused rather than missed.
     """
+    if longest is None:
+        longest = max(terms.agg(F.max(F.size(words(F.col("term"))))).first()[0] or 1, 1)
     dictionary = terms.withColumn("_w", words(F.col("term"))).select(
         F.lower(F.get("_w", F.lit(0))).alias("_first"),
         F.when(F.col("kind") == "ticker", F.array_join("_w", " "))

@@ -14,6 +14,7 @@ Two shapes are served:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -99,8 +100,8 @@ def with_range(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     """
     df = df.where(F.col(value).isNotNull()).withColumn("_at", F.col(value).cast("double"))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.approxQuantile("_at", shares, 1 / (2 * ranges))))
-    splits = [float("-inf"), *cuts, float("inf")]
+    cuts = sorted({c for c in df.approxQuantile("_at", shares, 1 / (2 * ranges)) if isfinite(c)})
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_at", outputCol="_cut", handleInvalid="keep")
     return cutter.transform(df).withColumn("_range", F.col("_cut").cast("int")).drop("_at", "_cut")
 

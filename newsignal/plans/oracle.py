@@ -50,10 +50,10 @@ kept as (
   select doc_id, date, text,
     regexp_replace(substr(text, 1, 10000), {quoted(STRIP)}, '', 'g') as trimmed_text
   from raw where text is not null and text not in ('', 'None') and date is not null
-    and not contains(text, 'forbidden')),
+    and not contains(text, 'forbidden') and regexp_replace(text, {quoted(STRIP)}, '', 'g') <> ''),
 cleaned as (
   select min(doc_id) as doc_id, date, 0 as exception_flag, text, trimmed_text
-  from kept where trimmed_text <> '' group by date, text, trimmed_text)"""
+  from kept group by date, text, trimmed_text)"""
 
 
 def polarity_ctes(source: str = "articles") -> str:

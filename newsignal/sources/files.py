@@ -15,7 +15,6 @@ from newsignal.functions.text import compact_day, domain, split_urls, url_key
 from newsignal.schemas import ARTICLE, FETCHED_PAGE, INDEX_COLUMNS, RAW_BAR
 
 LINES_PER_BATCH = 10_000
-INDEX_WIDTH = 11
 
 
 def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
@@ -31,13 +30,13 @@ def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
-    """Price CSVs as text columns, for `operators.cleaning.clean_bars`."""
-    return (
-        spark.read.schema(RAW_BAR)
-        .option("header", True)
-        .option("pathGlobFilter", "*.csv")
-        .csv(list(paths))
-    )
+    """Price CSVs as text columns, for `operators.cleaning.clean_bars`.
+
+    Columns are found by the names in the header, whatever their case and order;
+    the files of one call share a header.
+    """
+    named = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(list(paths))
+    return named.select(*[F.col(f.name).alias(f.name) for f in RAW_BAR])
 
 
 def read_parquet(spark: SparkSession, *paths: str, drop_names_like: str | None = None) -> DataFrame:
@@ -85,9 +84,10 @@ def read_zipped_index(spark: SparkSession, path: str, keep: dict[int, str] = IND
     """Daily index archives: the first member is a tab-separated file without header.
 
     Archives are read one per task and streamed in batches of lines; the lines
-    are parsed by Spark. A leading line of column names is removed by value.
+    are parsed by Spark. Quotation marks are plain characters. A leading line of
+    column names is removed by value; rows without a date stay.
     """
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(INDEX_WIDTH)]
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(max(keep) + 1)]
     lines = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.zip")
@@ -96,8 +96,8 @@ def read_zipped_index(spark: SparkSession, path: str, keep: dict[int, str] = IND
         .mapInPandas(_lines, "path string, line string")
     )
     ddl = ", ".join(f"{f.name} string" for f in fields)
-    parsed = lines.select(F.from_csv("line", ddl, {"sep": "\t"}).alias("r")).select("r.*")
-    return select_positions(parsed, keep).where("upper(date) <> 'DATE'")
+    parsed = lines.select(F.from_csv("line", ddl, {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
+    return select_positions(parsed, keep).where("date is null or upper(date) <> 'DATE'")
 
 
 def combine_index(index: DataFrame) -> DataFrame:

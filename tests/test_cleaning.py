@@ -21,10 +21,12 @@ def test_clean_articles(spark):
         (10, D, "  \n"),
         (11, D, "  padded "),
         (12, D, "x" * 10_005),
+        (13, D, " " * 10_000 + "late"),
     ]
     df = spark.createDataFrame(rows, "id int, date date, text string")
     out = {r.id: r for r in cleaning.clean_articles(df, "id").collect()}
-    assert sorted(out) == [1, 3, 9, 11, 12]
+    assert sorted(out) == [1, 3, 9, 11, 12, 13]
+    assert out[13].trimmed_text == "" and out[13].text.endswith("late")
     assert out[11].trimmed_text == "padded" and out[11].text == "  padded "
     assert len(out[12].trimmed_text) == 10_000 and len(out[12].text) == 10_005
     assert {r.exception_flag for r in out.values()} == {0}

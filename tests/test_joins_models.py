@@ -75,6 +75,15 @@ def test_describe(spark):
     assert rows["b"]["count"] == 502
 
 
+def test_metrics_of_missing_and_infinite_values(spark):
+    df = spark.createDataFrame([(1, None, float("inf")), (0, None, 1.0), (0, None, float("-inf"))], "label int, a double, b double")
+    rows = {r["column"]: r for r in metrics.describe(df, ["a", "b"]).collect()}
+    assert (rows["a"]["count"], rows["a"]["p50"], rows["b"]["p50"]) == (0, None, 1.0)
+    assert metrics.binary_metrics(df, score="b").first().auc == 1.0
+    empty = metrics.binary_metrics(df.where("label > 1"), score="b").first()
+    assert (empty.accuracy, empty.auc) == (None, None)
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i, D + timedelta(i % 10)) for i in range(2000)], "id int, date date")
     split = model.hash_split(df, "id")

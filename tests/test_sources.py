@@ -38,6 +38,21 @@ def test_bar_files(spark, tmp_path):
     assert sorted((r.ticker, r.close) for r in out.collect()) == [("AA", 1.5), ("BB", 2.5)]
 
 
+def test_bar_columns_are_found_by_name(spark, tmp_path):
+    header = ["Volume", "Ticker", "Close", "Date", "Open", "High", "Low", "Adj"]
+    write_csv(tmp_path / "AA.csv", header, [10, "AA", 1.5, "2024-01-02", 1, 2, 0.5, 9])
+    row = files.read_bars(spark, str(tmp_path)).first()
+    assert tuple(row) == ("2024-01-02", "1", "2", "0.5", "1.5", "10", "AA")
+
+
+def test_zipped_index_keeps_quotes_and_rows_without_date(spark, tmp_path):
+    lines = ["\t".join(["20160226", "1", "c", "t", '"Texas', *"pondu", "http://a.com/1"]), "\t".join(["", *["x"] * 9, "http://b.com/2"])]
+    with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
+        z.writestr("day.csv", "\n".join(lines))
+    rows = {r.source_urls: r.locations for r in files.read_zipped_index(spark, str(tmp_path)).collect()}
+    assert rows == {"http://a.com/1": '"Texas', "http://b.com/2": "x"}
+
+
 def test_zipped_index(spark, tmp_path):
     for day in ("20160226", "20160227"):
         lines = ["\t".join(["DATE", *[f"h{i}" for i in range(1, 11)]])]

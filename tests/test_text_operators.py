@@ -93,6 +93,12 @@ def test_mentions(spark, monkeypatch, listed):
     assert {r.id: r.finance_flag for r in substring.collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
 
 
+def test_long_terms_are_found(spark):
+    df = spark.createDataFrame([(1, "a one two three four five six b"), (2, "one two three four five")], "id int, text string")
+    terms = mentions.term_table(spark, [("one two three four five six", "x", "company")])
+    assert [tuple(r) for r in mentions.entity_mentions(df, terms, "id").collect()] == [(1, "x", 1)]
+
+
 def test_too_long_terms_are_refused(spark):
     df = spark.createDataFrame([(1, "one two")], "id int, text string")
     terms = mentions.term_table(spark, [("one two three", "x", "company")])
