@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,38 +12,33 @@ from newsignal.functions.text import strip
 # Parts of a page that hold no readable text.
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-PARAGRAPH_END = r"(?is)</p\s*>.*|</(?:body|html|article|div|footer)\s*>.*"
-TAG = r"(?s)<[^>]*>"
-LIST_LINK = r"(?is)<li\b[^>]*>\s*<a\b[^>]*>.*?</a>"
-HREF = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"
-
-# Character references and their characters. The ampersand is
-# last, so that a doubly escaped reference is decoded once.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&amp;", "&"),
-)
+PARAGRAPH_CLOSE = r"(?is)</p\s*>.*"
+ENCLOSING_CLOSE = r"(?is)</(?:body|html|article|div|footer)\s*>.*"
+TAG = r"(?s)<[A-Za-z/!?][^>]*>"
+ITEM_OPEN = r"(?i)<li(?:\s[^>]*)?>"
+ITEM_CLOSE = r"(?is)</(?:li|ul|ol)\s*>.*"
+LINK = r"(?is)<a\s[^>]*?href\s*=[^>]*>.*?(?:</a\s*>|$)"
+HREF = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+def _referred(name: Column) -> Column:
+    """The character of a reference without & and ;, NULL when there is none."""
+    digits = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 6)).otherwise(F.hex(F.substring(name, 2, 7).try_cast("long")))
+    code = F.conv(digits, 16, 10).cast("long")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    numeric = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    known = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))], F.lit("apos"), F.lit("'"))
+    return F.when(name.startswith("#"), numeric).when(name != "", F.try_element_at(known, name))
 
 
 def decode(text: Column) -> Column:
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """Character references replaced, each once: all numbers, and the names of HTML 4."""
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        return F.coalesce(F.concat(_referred(name), F.substr(p, F.length(name) + 3)), p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
 
 
 def visible(fragment: Column) -> Column:
@@ -53,11 +50,23 @@ def without_hidden(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
 
+def _opened(html: Column, opening: str) -> Column:
+    """What follows each opening tag, up to the next one."""
+    pieces = F.split(without_hidden(html), opening)
+    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
 def paragraphs(html: Column) -> Column:
-    """Texts of the <p> elements in page order. A new <p> closes the last one."""
-    pieces = F.split(without_hidden(html), PARAGRAPH_OPEN)
-    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(bodies, lambda p: visible(F.regexp_replace(p, PARAGRAPH_END, "")))
+    """Texts of the <p> elements in page order. A new <p> closes the last one.
+
+    A paragraph ends at its own closing tag, without one at that of the element around it.
+    """
+
+    def body(p: Column) -> Column:
+        own = F.regexp_replace(p, PARAGRAPH_CLOSE, "")
+        return F.when(p.rlike(PARAGRAPH_CLOSE), own).otherwise(F.regexp_replace(p, ENCLOSING_CLOSE, ""))
+
+    return F.transform(_opened(html, PARAGRAPH_OPEN), lambda p: visible(body(p)))
 
 
 def article_text(html: Column) -> Column:
@@ -66,11 +75,17 @@ def article_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """(text, url) of every link that opens a list item, in page order."""
-    anchors = F.regexp_extract_all(without_hidden(html), F.lit(LIST_LINK), F.lit(0))
+    """(text, url) of every link with an address inside a list item, in page order."""
+    anchors = F.flatten(
+        F.transform(
+            _opened(html, ITEM_OPEN),
+            lambda item: F.regexp_extract_all(F.regexp_replace(item, ITEM_CLOSE, ""), F.lit(LINK), F.lit(0)),
+        )
+    )
     return F.transform(
         anchors,
         lambda a: F.struct(
-            visible(a).alias("text"), F.regexp_extract(a, HREF, 1).alias("url")
+            visible(a).alias("text"),
+            F.concat(*[F.regexp_extract(a, HREF, i) for i in (1, 2, 3)]).alias("url"),
         ),
     )

@@ -19,14 +19,22 @@ def per_day(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if isinstance(df.schema["date"].dataType, DateType) else df
 
 
+def one_per_day(df: DataFrame) -> DataFrame:
+    """The rows with a date, marked for broadcast; a second row of a day is an error."""
+    twice = F.raise_error(F.concat(F.lit("more than one row for "), F.col("date").cast("string")))
+    checked = [F.when(F.count("*") > 1, twice).otherwise(F.max(c)).alias(c) for c in df.columns if c != "date"]
+    return per_day(df.where("date is not null").groupBy("date").agg(*checked))
+
+
 def left_join_series(bars: DataFrame, series: DataFrame | None, name: str, value: str = "value") -> DataFrame:
     """Adds a daily series as column `name`; without a series it is NULL.
 
-    A series has one row per calendar day, so the planner broadcasts it by size.
+    A series has one row per calendar day, so it is broadcast and bars are not
+    shuffled; a repeated day is an error.
     """
     if series is None:
         return bars.withColumn(name, F.lit(None).cast("double"))
-    return bars.join(series.select("date", F.col(value).alias(name)), "date", "left")
+    return bars.join(one_per_day(series.select("date", F.col(value).alias(name))), "date", "left")
 
 
 def day_sizes(articles: DataFrame) -> DataFrame:
@@ -68,5 +76,8 @@ def join_by_day(
 
 
 def join_daily(daily: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Stock rows with the aggregated sentiment of their day; no fan-out."""
-    return stocks.join(daily, "date")
+    """Stock rows with the aggregated sentiment of their day; no fan-out.
+
+    `daily` has one row per calendar day and is broadcast; a repeated day is an error.
+    """
+    return stocks.join(one_per_day(daily), "date")

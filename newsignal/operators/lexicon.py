@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from newsignal.operators.candidates import listed_words, positions
 from newsignal.operators.joins import per_day
+from newsignal.session import materialise
 
 TOKEN_BREAK = r"[^\p{L}']+"
 SHOUTED = r"^\p{Lu}{2,}$"
@@ -213,7 +214,9 @@ def daily_mean(scored: DataFrame, score: str = "lexicon_polarity", name: str = "
 def attach_daily_mean(scored: DataFrame, score: str = "lexicon_polarity", name: str = "mean_polarity") -> DataFrame:
     """Every article with the mean of its day.
 
-    The mean is aggregated first and joined back as one row per calendar day. A
-    window would put a busy day's articles into one task.
+    The scores are written once and read twice: for the mean and for the join, to
+    which the mean comes as one row per calendar day. A window would put a busy
+    day's articles into one task.
     """
+    scored = materialise(scored)
     return scored.join(per_day(daily_mean(scored, score, name)), "date")

@@ -33,7 +33,7 @@ def binary_metrics(
     pairs = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return ranked.agg(
         (F.sum("hit") / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"),
-        F.try_divide(pairs, F.sum("pos") * F.sum("neg")).alias("auc"),
+        F.try_divide(pairs, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
     )
 
 

@@ -57,19 +57,28 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_linear_svm(
-    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4
+    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4
 ) -> LinearSVCModel:
-    """Hinge-loss linear SVM; `c` weighs the loss against the norm of the weights."""
+    """Hinge-loss linear SVM; `c` weighs the loss against the norm of the weights.
+
+    The solver runs until its steps change less than `tol`; still changing after
+    `max_iter` steps, or having no row to learn from, is an error.
+    """
     assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     ready = assembled.transform(train).select("_x", F.col(label).cast("double").alias("_y"))
-    rows = max(ready.count(), 1)
+    rows = ready.count()
+    if not rows:
+        raise ValueError("no rows to train on")
     # Every step of the solver is a job over all partitions: small tables take few.
     ready = ready.coalesce(ceil(rows / ROWS_PER_TASK))
     svm = LinearSVC(
         featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=tol, standardization=False,
         regParam=1.0 / (c * rows),
     )
-    return svm.fit(ready)
+    fitted = svm.fit(ready)
+    if fitted.hasSummary and fitted.summary().totalIterations >= max_iter:
+        raise ValueError(f"no convergence within {max_iter} steps")
+    return fitted
 
 
 def predict(df: DataFrame, model: LinearSVCModel, features: Sequence[str]) -> DataFrame:
@@ -82,7 +91,7 @@ def predict(df: DataFrame, model: LinearSVCModel, features: Sequence[str]) -> Da
     )
 
 
-def train_and_predict(split: DataFrame, features: Sequence[str], label: str, max_iter: int = 100) -> DataFrame:
+def train_and_predict(split: DataFrame, features: Sequence[str], label: str, max_iter: int = 1000) -> DataFrame:
     """Predictions for the test rows of a table with `is_test`."""
     scaled = standardize(split.na.drop(subset=[*features, label]), features)
     model = fit_linear_svm(scaled.where(~F.col("is_test")), features, label, max_iter=max_iter)
@@ -90,7 +99,7 @@ def train_and_predict(split: DataFrame, features: Sequence[str], label: str, max
 
 
 def model_report(
-    split: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, max_iter: int = 100
+    split: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, max_iter: int = 1000
 ) -> DataFrame:
     """(model, accuracy, auc): one classifier per feature set."""
 

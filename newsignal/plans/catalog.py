@@ -349,8 +349,6 @@ def model_features(spark, sf_dir):
     return materialise(model.hash_split(bars, "ticker", "date"))
 
 
-SVM_STEPS = 15
-
 FEATURE_SETS = {
     "No_Sentiment": ["close"],
     "Lexicon": ["close", "lexicon_mean"],
@@ -362,12 +360,12 @@ FEATURE_SETS = {
 def svm_predictions(spark, sf_dir):
     joined = polarity_by_stock(spark, sf_dir)
     split = materialise(model.hash_split(joined, "ticker", "date"))
-    out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement", SVM_STEPS)
+    out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement")
     return out.select("doc_id", "ticker", "date", "movement", "decision", "prediction")
 
 
 def model_report(spark, sf_dir):
-    return model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement", SVM_STEPS)
+    return model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement")
 
 
 def registered() -> dict[str, Query]:

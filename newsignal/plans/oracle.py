@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from newsignal.functions import html, text
+from newsignal.functions import text
 from newsignal.operators import cleaning, indicators, lexicon, mentions
 from newsignal.plans import catalog, tables
 
@@ -168,26 +168,54 @@ from counted join dict on case when kind = 'ticker' then counted.phrase = dict.p
 group by doc_id, entity"""
 
 
+# Page patterns and references of the given pages, stated a second time.
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = r"(?is)</p\s*>.*|</(?:body|html|article|div|footer)\s*>.*"
+MARKUP = r"(?s)<[^>]*>"
+LIST_LINK = r"(?is)<li\b[^>]*>\s*<a\b[^>]*>.*?</a>"
+ADDRESS = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"
+ENTITIES = (
+    ("&nbsp;", "\u00a0"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&apos;", "'"),
+    ("&#39;", "'"),
+    ("&copy;", "©"),
+    ("&reg;", "®"),
+    ("&middot;", "·"),
+    ("&hellip;", "…"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
+    ("&amp;", "&"),
+)
+
+
 def decoded(expression: str) -> str:
-    for name, character in html.ENTITIES:
+    for name, character in ENTITIES:
         expression = f"replace({expression}, {quoted(name)}, {quoted(character)})"
     return expression
 
 
 def visible(expression: str) -> str:
-    inner = decoded(f"regexp_replace({expression}, {quoted(html.TAG)}, '', 'g')")
+    inner = decoded(f"regexp_replace({expression}, {quoted(MARKUP)}, '', 'g')")
     return f"regexp_replace({inner}, {quoted(STRIP)}, '', 'g')"
 
 
-SHOWN = f"shown as (select page_id, regexp_replace(html, {quoted(html.HIDDEN)}, '', 'g') as html from pages)"
+SHOWN = f"shown as (select page_id, regexp_replace(html, {quoted(HIDDEN)}, '', 'g') as html from pages)"
 
 PARAGRAPHS = f"""{SHOWN},
 pieces as (
   select page_id, unnest(p) as piece, generate_subscripts(p, 1) as i from (
-    select page_id, string_split_regex(html, {quoted(html.PARAGRAPH_OPEN)}) as p from shown)),
+    select page_id, string_split_regex(html, {quoted(PARAGRAPH_OPEN)}) as p from shown)),
 paragraphs as (
   select page_id, i - 2 as pos,
-    {visible(f"regexp_replace(piece, {quoted(html.PARAGRAPH_END)}, '')")} as text
+    {visible(f"regexp_replace(piece, {quoted(PARAGRAPH_END)}, '')")} as text
   from pieces where i >= 2)"""
 
 BARS = """bars as (
@@ -333,8 +361,8 @@ union all select 'turn', conv_id, null, role, md5(text) from conversations
 union all select 'item', item_id, null, null, md5(text) from benchmark""",
         "html_links": f"""with {SHOWN}, anchors as (
   select page_id, unnest(a) as a, generate_subscripts(a, 1) - 1 as pos from (
-    select page_id, regexp_extract_all(html, {quoted(html.LIST_LINK)}) as a from shown))
-select page_id, cast(pos as integer) as pos, {visible('a')} as text, regexp_extract(a, {quoted(html.HREF)}, 1) as url from anchors""",
+    select page_id, regexp_extract_all(html, {quoted(LIST_LINK)}) as a from shown))
+select page_id, cast(pos as integer) as pos, {visible('a')} as text, regexp_extract(a, {quoted(ADDRESS)}, 1) as url from anchors""",
         "html_paragraphs": f"with {PARAGRAPHS} select page_id, cast(pos as integer) as pos, text from paragraphs",
         "html_text": f"""with {PARAGRAPHS} select pages.page_id, coalesce(string_agg(text, ' ' order by pos), '') as text
   from pages left join paragraphs using (page_id) group by pages.page_id""",

@@ -114,7 +114,14 @@ Fetcher = Callable[[str], tuple[int, str]]
 
 
 def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
-    """Fetches every URL in parallel tasks; failures become rows, not errors."""
+    """Fetches every URL in parallel tasks; failures become rows, not errors.
+
+    Other columns of `urls`, such as the date, follow url, status, html and error,
+    whose names they must not use.
+    """
+    carried = [c for c in urls.columns if c != url]
+    if clash := set(carried) & set(FETCHED_PAGE.names):
+        raise ValueError(f"columns named like the result: {sorted(clash)}")
 
     def visit(link: str) -> tuple[int | None, str | None, str | None]:
         try:
@@ -127,9 +134,11 @@ def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFram
         for batch in batches:
             rows: Iterable[Sequence] = [(u, *visit(u)) for u in batch["url"]]
             pages = pd.DataFrame(rows, columns=["url", "status", "html", "error"])
-            yield pages.astype({"status": "Int32"})
+            pages = pages.astype({"status": "Int32"})
+            yield pd.concat([pages, batch[carried].reset_index(drop=True)], axis=1)
 
-    return urls.select(F.col(url).alias("url")).mapInPandas(run, FETCHED_PAGE)
+    named = urls.select(F.col(url).alias("url"), *carried)
+    return named.mapInPandas(run, T.StructType([*FETCHED_PAGE, *[named.schema[c] for c in carried]]))
 
 
 def fetch_outcome(pages: DataFrame) -> DataFrame:

@@ -92,3 +92,17 @@ def test_links_of_list_items(column_of):
     found = column_of([PAGE, ""], html.links)
     assert [tuple(r) for r in found[0]] == [("First &lt; link", "/one"), ("Two", "two")]
     assert found[1] == []
+
+
+def test_references_are_decoded_once(column_of):
+    values = ["&#8217;&#x27;&eacute;", "&amp;#39; &#38;lt;", "&unknown; & &#0; &#xD800; &#9999999;", "a&nbsp;b&apos;", "&#128512;", None]
+    assert column_of(values, html.decode) == ["’'é", "&#39; &lt;", values[2], "a\u00a0b'", "😀", None]
+
+
+def test_paragraphs_keep_inner_blocks_and_plain_signs(column_of):
+    assert column_of(["<p>a<div>b</div>c</p>d", "<p>x < 3 and y > 2</p>"], html.paragraphs) == [["abc"], ["x < 3 and y > 2"]]
+
+
+def test_links_anywhere_in_an_item(column_of):
+    page = "<ol><li>see <a href=/u>U</a> or <b><a class=x href='q'>Q</a></b><li><a name=n>N</a><a href=\"r\">R</a></li></ol><a href=o>O</a>"
+    assert [tuple(r) for r in column_of([page], html.links)[0]] == [("U", "/u"), ("Q", "q"), ("R", "r")]

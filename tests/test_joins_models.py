@@ -115,3 +115,19 @@ def test_svm_and_report(spark):
     report = {r.model: r for r in model.model_report(split, {"noise": ["z"], "both": ["x", "z"]}, "y", 20).collect()}
     assert report["both"].auc > 0.97 and report["both"].accuracy > 0.9
     assert report["noise"].auc < 0.8
+
+
+def test_a_repeated_day_is_refused_and_bars_are_not_shuffled(spark):
+    bars = spark.sql("select 'A' as ticker, date'2024-01-01' + cast(id as int) as date from range(3)")
+    series = spark.sql("select date'2024-01-02' as date, 1.5d as value")
+    out = joins.left_join_series(bars, series, "x")
+    assert sorted(r.x or 0 for r in out.collect()) == [0, 0, 1.5]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="more than one row for 2024-01-02"):
+        joins.left_join_series(bars, series.union(series), "x").collect()
+
+
+def test_training_without_rows_is_refused(spark):
+    empty = spark.createDataFrame([], "x double, y int")
+    with pytest.raises(ValueError, match="no rows"):
+        model.fit_linear_svm(empty, ["x"], "y")

@@ -58,6 +58,7 @@ def test_totals_before_is_exact_for_any_number_of_ranges(spark):
     want = {v: sum(m for u, m in values.items() if u < v) for v in values}
     for ranges in (2, 16, 128):
         got = ordered.totals_before(df, "v", ["m"], ranges)
+        assert got.columns == ["v", "m", "before_m"]
         assert {r.v: r.before_m for r in got.collect()} == want
         assert "SinglePartition" not in plan(got)
 
@@ -67,3 +68,20 @@ def test_batches_are_full_and_ordered(spark):
     got = sorted((r.key, r.batch_id) for r in ordered.batch_ids(df, "key", 100).collect())
     assert [b for _, b in got] == [i // 100 for i in range(len(got))]
     assert "SinglePartition" not in plan(ordered.batch_ids(df, "key", 100))
+
+
+def test_batches_of_text_keys_hold_nulls_and_ties(spark):
+    keys = [None, None, None, "b", "b", "b", "a", "ü", "", "zz"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    got = sorted(ordered.row_index(df, "k", ranges=4).collect(), key=lambda r: r.row_index)
+    assert [r.row_index for r in got] == list(range(10))
+    assert [r.k for r in got] == [None] * 3 + ["", "a", "b", "b", "b", "zz", "ü"]
+    assert {r.i for r in got} == set(range(10))
+    assert {r.batch_id for r in ordered.batch_ids(df, "k", 3).collect()} == {0, 1, 2, 3}
+
+
+def test_empty_and_infinite_values(spark):
+    empty = spark.createDataFrame([], "v double, m long")
+    assert ordered.totals_before(empty, "v", ["m"]).count() == 0
+    df = spark.createDataFrame([(float("-inf"), 1), (0.0, 2), (float("inf"), 4), (None, 8)], "v double, m long")
+    assert {r.v: r.before_m for r in ordered.totals_before(df, "v", ["m"]).collect()} == {float("-inf"): 0, 0.0: 1, float("inf"): 3}

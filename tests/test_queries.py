@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as driver
+from newsignal.plans import catalog
+from newsignal.plans.oracle import oracle
 from oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SQL = driver.oracle_sql()
-QUERIES = driver.queries()
+SQL = oracle()
+QUERIES = catalog.registered()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con():
 
 
 def test_sql_belongs_to_queries():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"classify_text", "svm_predictions", "model_report"}
 

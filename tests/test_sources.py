@@ -86,6 +86,16 @@ def test_fetch_turns_failures_into_rows(spark):
     assert {r.t for r in texts.collect()} == {"http://ok end", "http://ok2 end"}
 
 
+def test_fetch_keeps_the_other_columns(spark):
+    urls = spark.createDataFrame([("http://ok", date(2024, 1, 1)), ("http://ok", date(2024, 1, 2))], "link string, date date")
+    pages = files.fetch_pages(urls, lambda url: (200, "x"), "link").collect()
+    assert sorted((r.url, r.status, r.html, r.error, r.date) for r in pages) == [
+        ("http://ok", 200, "x", None, date(2024, 1, 1)), ("http://ok", 200, "x", None, date(2024, 1, 2))
+    ]
+    with pytest.raises(ValueError):
+        files.fetch_pages(urls.withColumn("html", F.lit("")), None, "link")
+
+
 def test_parquet_round_trip_and_file_names(spark, tmp_path):
     df = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "id int, date date")
     sinks.write_parquet(df, str(tmp_path / "by_day"))
