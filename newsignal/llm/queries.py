@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import chat, decontaminate, importance, language, line_dedup, mixing, near_dups, pii, quality, sql, warc
+from newsignal.llm import (
+    chat,
+    decontaminate,
+    importance,
+    language,
+    lexical_search,
+    line_dedup,
+    mixing,
+    near_dups,
+    pii,
+    quality,
+    sharding,
+    sql,
+    vector_codes,
+    warc,
+)
 from newsignal.llm.common import table
+from newsignal.session import materialise
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +121,33 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns)).withColumnRenamed("conv", "conv_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.vector_codes(vectors)
+    totals = vector_codes.with_group_total(materialise(coded), "label", "error", "label_error")
+    return totals.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.assign(docs, "doc_id", {s: 1.0 for s in range(16)}, added={16: 1.0})
+    text = F.coalesce("text", F.lit(""))
+    rows = placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        "shard",
+        "grown_shard",
+    )
+    slots = sharding.shard_slots(rows, "doc_id")
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -117,6 +160,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_sharding": op12_sharding,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -130,4 +176,7 @@ def oracle() -> dict[str, str]:
         "op5_decontaminate": sql.DECONTAMINATE,
         "op9_line_dedup": sql.LINES,
         "op10_chat_format": sql.CHAT,
+        "op11_vector_codes": sql.vector_codes(parts=16, entries=64, rounds=2),
+        "op12_sharding": sql.sharding(shards=16),
+        "op13_lexical_search": sql.SEARCH,
     }

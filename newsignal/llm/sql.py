@@ -253,3 +253,115 @@ select conv_id, count(*)::bigint as n_turns,
     sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """
+
+
+def vector_codes(parts: int, entries: int, rounds: int) -> str:
+    """Every part against every entry of its codebook, each round."""
+
+    def nearest(books: str) -> str:
+        return f"""
+    select rid, p, v, min({{'far': list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - b[j]) * (v[j] - b[j]))),
+        'e': e}}) as best
+    from parts join {books} using (p) group by rid, p, v"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} as materialized ({nearest(f'books{r}')})")
+        steps.append(f"""books{r + 1} as materialized (
+    select p, e, coalesce(m, b) as b from books{r} left join (
+        select p, e, list(c order by j) as m from (
+            select p, best.e as e, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as c
+            from (select p, best, unnest(v) as x, unnest(range(len(v))) as j from near{r}) group by p, e, j
+        ) group by p, e
+    ) using (p, e)
+)""")
+    return f"""
+with kept as (
+    select row_number() over (order by vec_id, embedding) - 1 as rid, vec_id, label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+    select rid, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as v
+    from kept, (select unnest(range({parts})) as p)
+), books0 as materialized (
+    select p, rid as e, v as b from parts where rid < {entries}
+), {", ".join(steps)}, final as materialized ({nearest(f"books{rounds}")}),
+coded as (
+    select rid, string_agg(lower(printf('%02x', best.e)), '' order by p) as code, sum(best.far)::bigint as error
+    from final group by rid
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+    (select sha256(string_agg(array_to_string(b, ','), ',' order by p, e)) from books{rounds}) as codebooks_sha256
+from coded join kept using (rid)
+"""
+
+
+def sharding(shards: int) -> str:
+    """Equal weights, so the cheapest shard is the one with the largest hash; CRC-32 bit by bit for its table."""
+
+    def unit(seed: str) -> str:
+        return f"('0x' || substr(md5({seed} || ':' || coalesce(doc_id::varchar, '')), 1, 13))::bigint"
+
+    return f"""
+with rule as (
+    select list_transform(range(256), lambda i: list_reduce(
+        list_concat([i], range(8)),
+        lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), sized as (
+    select doc_id, row_number() over () as rid, strlen(coalesce(text, '')) + 1 as size,
+        list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+            lambda b: ('0x' || b)::bigint)) as bytes
+    from documents
+), summed as (
+    select doc_id, rid, size, xor(list_reduce(bytes,
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+    from sized, rule
+), bids as (
+    select rid, s, {unit("'shard-' || s")} as bid
+    from sized, (select unnest(range({shards + 1})) as s)
+), placed as (
+    select rid, arg_max(s, {{'bid': bid, 's': -s}}) filter (s < {shards}) as shard,
+        arg_max(s, {{'bid': bid, 's': -s}}) as grown
+    from bids group by rid
+)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'key' as law, shard::int as shard,
+    row_number() over (partition by shard order by {unit("'slot'")}, doc_id nulls first, size, crc) - 1 as slot,
+    grown::int as grown_shard
+from summed join placed using (rid)
+"""
+
+
+SEARCH = r"""
+with words as (
+    select row_number() over () as rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents
+), totals as (
+    select count(*) as docs, sum(len(w))::bigint as terms from words where len(w) > 0
+), sized as (
+    select rid, doc_id, 100 - 75 + ((75 * len(w) * docs) // terms) as m from words, totals where len(w) > 0
+), tfs as (
+    select rid, term, count(*) as tf from (select rid, unnest(w) as term from words) group by rid, term
+), weights as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as weight
+    from tfs, totals group by term, docs
+), wanted as (
+    select item_id, term, count(*) as repeats from (
+        select item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark)
+    group by item_id, term
+), scored as (
+    select item_id, rid, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from wanted join weights using (term) join tfs using (term) join sized using (rid)
+    group by item_id, rid
+), ranked as (
+    select item_id, doc_id, score, row_number() over (
+        partition by item_id order by score desc, doc_id nulls last) as rank
+    from scored join sized using (rid) where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
