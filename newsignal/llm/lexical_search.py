@@ -46,6 +46,26 @@ def impact(tf, m):
     return (GAIN * tf) // (1000 * tf + 8 * m)
 
 
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(FOLD).split()
+
+
+def corpus_size(texts: DataFrame) -> tuple[int, int]:
+    """The documents with a term and all their terms; each task sends its two sums."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = terms = 0
+        for batch in batches:
+            for text in batch.column(0):
+                n = len(terms_of(text.as_py() or b""))
+                docs, terms = docs + (n > 0), terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["docs", "terms"])
+
+    sums = texts.select("text").mapInArrow(counted, "docs long, terms long").agg(F.sum("docs"), F.sum("terms"))
+    docs, terms = sums.first()
+    return docs or 0, terms or 0
+
+
 class Numbers(dict):
     """Term to number, counted up as terms appear."""
 
@@ -98,8 +118,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     not read. An empty table makes an empty index.
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    n_docs, n_terms = plain.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    binary = plain.select("id", F.col("text").cast("binary"))
+    n_docs, n_terms = corpus_size(binary)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -119,34 +139,37 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (text.as_py() or b"").translate(FOLD).split()
+                raw = text.as_py() or b""
+                words = terms_of(raw)
                 if not words:
                     continue
                 ids.append(i)
                 lists.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                held += len(text.as_py())
+                held += len(raw)
                 if len(ids) >= SEGMENT_ROWS or held >= SEGMENT_BYTES:
                     yield flushed()
                     ids, lists, numbers, held = [], [], Numbers(), 0
         if ids:
             yield flushed()
 
-    binary = plain.select("id", F.col("text").cast("binary"))
     return Index(materialise(binary.mapInArrow(segments, SEGMENT)), n_docs, n_terms)
 
 
 def weighted_items(index: Index, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, terms): each item's terms that the index holds, with weight times repeats."""
     fold = F.translate(F.col(f"`{text_col}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    wanted = (
+    # Written, so that the planner knows its size and broadcasts it where it is small.
+    wanted = materialise(
         items.select(F.col(f"`{id_col}`").alias("item"), F.explode(F.regexp_extract_all(fold, F.lit(TERM), 0)).alias("term"))
         .groupBy("item", "term")
         .agg(F.count("*").alias("repeats"))
     )
     found = (
         index.segments.select(F.explode(F.arrays_zip("terms", "df")).alias("t"))
-        .groupBy(F.col("t.terms").alias("term"))
-        .agg(F.sum("t.df").alias("df"))
+        .select(F.col("t.terms").alias("term"), "t.df")
+        .join(wanted.select("term"), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"))
     )
     weight = F.floor(1000 * F.ln(F.lit(2.0 * index.n_docs + 2) / (2 * F.col("df") + 1)))
     return (
