@@ -146,10 +146,11 @@ def spread_lists(present: np.ndarray, values: np.ndarray) -> pa.Array:
 def assigned(batch: pa.RecordBatch, books: Codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which rows have integers, their parts (n, parts, width), and index and distance by part."""
     n_parts, _, width = books.entries.shape
+    n_pivots = books.pivots.shape[1]
     ints, near = batch.column(1), batch.column(2)
     present = np.asarray(ints.is_valid())
     parts = ints.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n_parts, width)
-    near = near.flatten().to_numpy(zero_copy_only=False).reshape(len(parts), n_parts, -1)
+    near = near.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_parts, n_pivots)
     found = [nearest(parts[:, p], near[:, p], books.entries[p], books.pivots[p]) for p in range(n_parts)]
     return present, parts, np.stack([f[0] for f in found], 1), np.stack([f[1] for f in found], 1)
 
@@ -235,7 +236,7 @@ def vector_codes(
         .collect()
     )
     seeds = integers(np.array([r["v"] for r in first]).reshape(len(first), length)).astype(np.int64)
-    start = np.ascontiguousarray(seeds.reshape(len(first), parts, -1).swapaxes(0, 1))
+    start = np.ascontiguousarray(seeds.reshape(len(first), parts, length // parts).swapaxes(0, 1))
     fixed = [spread_pivots(start[p], pivots) for p in range(parts)] if first else []
     books = Codebooks(start, np.stack(fixed) if fixed else np.zeros((parts, 0, length // parts), np.int64))
     fields = [f for f in kept.schema if f.name != vector_col]
