@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -43,18 +45,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Paths that the innermost scope deletes; None outside of scopes.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several later jobs read.
 
     The rows are written as a Parquet table in the shared folder, so a lost
-    executor does not lose them and later reads prune columns.
+    executor does not lose them and later reads prune columns. Inside of
+    `scratch` the table lives as long as the scope.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    written = WRITTEN.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose written tables are deleted at its end.
+
+    Yields a function that writes a table for the scope around this one: what
+    is to be read after the end must go through it, because a DataFrame that
+    reads a deleted table cannot run.
+    """
+    outer, inner = WRITTEN.get(), []
+    token = WRITTEN.set(inner)
+
+    def keep(df: DataFrame) -> DataFrame:
+        here = WRITTEN.set(outer)
+        try:
+            return materialise(df)
+        finally:
+            WRITTEN.reset(here)
+
+    try:
+        yield keep
+    finally:
+        WRITTEN.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop
+        for path in inner:
+            folder = hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def at_once(spark: SparkSession, steps: Sequence[Callable[[], DataFrame]], threads: int = 4) -> list[DataFrame]:
     """Runs independent steps that start jobs of their own side by side."""
+    scope = copy_context()
     with ThreadPool(min(threads, max(len(steps), 1))) as pool:
-        return pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps)
+        return pool.map(lambda step: scope.copy().run(inheritable_thread_target(spark)(step)), steps)

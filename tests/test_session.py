@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -35,3 +36,23 @@ def test_materialised_table_is_read_back(spark):
 def test_steps_keep_their_order(spark):
     steps = [lambda n=n: spark.range(n) for n in (3, 1, 2)]
     assert [df.count() for df in session.at_once(spark, steps)] == [3, 1, 2]
+
+
+def test_scratch_deletes_what_it_wrote_but_what_is_kept(spark):
+    def files():
+        return set(os.listdir(session.shared_folder(spark).removeprefix("file:")))
+
+    before = files()
+    with session.scratch(spark) as keep:
+        session.materialise(spark.range(3))
+        session.at_once(spark, [lambda: session.materialise(spark.range(4))] * 2)
+        with session.scratch(spark) as keep_inner:
+            session.materialise(spark.range(5))
+            inner = keep_inner(spark.range(6))
+        assert inner.count() == 6 and len(files() - before) == 4
+        out = keep(inner.where("id > 2"))
+    assert out.count() == 3 and len(files() - before) == 1
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        session.materialise(spark.range(3))
+        1 / 0
+    assert len(files() - before) == 1
