@@ -12,8 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsignal.llm.common import unused
-from newsignal.session import materialise
+from newsignal.llm.common import unused, without_keys
+from newsignal.session import materialise, scratch
 
 WINDOW = 10
 SHINGLE = 3
@@ -279,11 +279,12 @@ def contamination(
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs`, all their columns, whose text holds no window of an item; NULL texts stay."""
-    key, bad = unused(docs, "digest"), unused(docs, "bad")
+    key = unused(docs, "digest")
     keyed = docs.withColumn(key, F.sha2(F.col(text_col), 256))
-    found = contamination(keyed, items, id_col=key, text_col=text_col, **settings)
-    hit = materialise(found.where(F.size("spans") > 0).select(F.col(key).alias(bad)).distinct())
-    return keyed.join(hit, F.col(key) == F.col(bad), "left_anti").drop(key)
+    with scratch(docs.sparkSession) as keep:
+        found = contamination(keyed, items, id_col=key, text_col=text_col, **settings)
+        hit = keep(found.where(F.size("spans") > 0).select(key).distinct())
+    return without_keys(keyed, key, hit).drop(key)
 
 
 def hit_words(spans: str = "spans"):

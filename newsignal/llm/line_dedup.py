@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsignal.llm.common import same, unused
-from newsignal.session import materialise
+from newsignal.llm.common import maybe_in, same, unused
+from newsignal.session import materialise, scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
 VARIABLE = "<*>"
@@ -128,10 +128,16 @@ def drop_recurring_lines(
     are counted once and get equal results. Own columns of the two names are
     replaced; other columns are passed through.
     """
-    found = recurring_lines(docs.select(F.col(text_col).alias("text")), **settings)
-    digest, positions = unused(docs, "digest"), unused(docs, "positions")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(recurring_lines(docs.select(F.col(text_col).alias("text")), **settings))
+    digest, positions, maybe = unused(docs, "digest"), unused(docs, "positions"), unused(docs, "maybe")
     found = found.select(F.col("digest").alias(digest), F.col("positions").alias(positions))
-    joined = docs.withColumn(digest, F.unhex(F.md5(F.col(text_col)))).join(found, digest, "left")
+    # Texts that a bitmap rules out have no position and are not shuffled.
+    marked = maybe_in(docs.withColumn(digest, F.unhex(F.md5(F.col(text_col)))), digest, found.select(digest), maybe)
+    none = F.lit(None).cast("array<int>").alias(positions)
+    whole = marked.where(~F.col(maybe)).drop(maybe).select("*", none)
+    joined = marked.where(F.col(maybe)).drop(maybe).join(found, digest, "left")
+    joined = whole.unionByName(joined)
     lines = F.split(F.col(text_col), "\n")
 
     def without(cut: Column) -> Column:

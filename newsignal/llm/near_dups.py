@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsignal.llm.common import runs, unused
-from newsignal.session import materialise
+from newsignal.llm.common import maybe_in, runs, unused, without_keys
+from newsignal.session import materialise, scratch
 
 CHUNK_ROWS = 1024
 CHUNK_BYTES = 8 << 20
@@ -349,7 +349,8 @@ def near_duplicates(
     members = materialise(banded.join(shared, ["band", "bucket"]))
 
     wanted = materialise(members.select("id").distinct())
-    sets = materialise(shingle_sets(plain.join(wanted, "id", "left_semi"), shingle))
+    # A bitmap lets a few others through, whose sets are of no use and no harm.
+    sets = materialise(shingle_sets(maybe_in(plain, "id", wanted, "maybe").where("maybe"), shingle))
     signatures = classes.select("id", "signature").join(wanted, "id", "left_semi")
     links = materialise(pivot_links(members, signatures, sets, percent))
     roots = components(links)
@@ -404,18 +405,24 @@ def without_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **setti
     """`docs`, all its columns, with one document of each group.
 
     Of repeated rows of the one that stays, one row stays. Rows without an id
-    or without words stay.
+    or without words stay. Whole rows are shuffled only where a bitmap of the
+    ids that go, or stay more than once, does not rule them out.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col, **settings))
-    gone = unused(docs, "gone")
-    lost = found.where("not kept").select(F.col(id_col).alias(gone)).distinct()
-    stay = docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
-    again = (
-        found.where(F.col("kept") & (F.col("n_shingles") > 0))
-        .groupBy(id_col)
-        .count()
-        .where(F.col(id_col).isNotNull() & (F.col("count") > 1))
-        .select(F.col(id_col).alias(gone))
+    with scratch(docs.sparkSession) as keep:
+        found = near_duplicates(docs, id_col, text_col, **settings)
+        named = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
+        per_id = named.groupBy(F.col(id_col).alias("id")).agg(
+            F.bool_or(~F.col("kept")).alias("lost"), F.count("*").alias("n")
+        )
+        marked = keep(per_id.where("lost or n > 1").select("id", "lost"))
+    rest = without_keys(docs, id_col, marked.where("lost").select("id"))
+    again = marked.where("not lost").select("id")
+    maybe, one = unused(docs, "maybe"), unused(docs, "one")
+    sorted_out = maybe_in(rest, id_col, again, maybe)
+    near = sorted_out.where(F.col(maybe)).drop(maybe)
+    match = F.col(f"`{id_col}`") == F.col(one)
+    again = again.select(F.col("id").alias(one))
+    once = near.join(again, match, "left_semi").dropDuplicates([id_col, text_col])
+    return (
+        sorted_out.where(~F.col(maybe)).drop(maybe).unionByName(near.join(again, match, "left_anti")).unionByName(once)
     )
-    once = stay.join(again, F.col(id_col) == F.col(gone), "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(again, F.col(id_col) == F.col(gone), "left_anti").unionByName(once)

@@ -64,6 +64,17 @@ def test_odd_rows(spark, documents, odd_rows):
     nothing = spark.createDataFrame([], ITEMS)
     found = decontaminate.contamination(documents(odd_rows), nothing)
     assert found.count() == len(odd_rows) and found.where("size(spans) > 0").count() == 0
-    some = spark.createDataFrame([(1, odd_rows[9][1][300_000:300_200])], ITEMS)
+    long_text = odd_rows[9][1]
+    assert len(long_text) > 290_000
+    some = spark.createDataFrame([(1, long_text[280_000:280_200])], ITEMS)
     assert {r.doc_id for r in decontaminate.contamination(documents(odd_rows), some).where("size(spans) > 0").collect()} == {6}
     assert decontaminate.contamination(documents([]), some).count() == 0
+
+
+def test_passage_deep_in_a_text_of_several_megabytes(spark, documents):
+    passage = prose(78, 15, 500)
+    docs = documents([(1, prose(79, 700_000, 9_000) + " " + passage.upper() + " end"), (2, prose(80, 700_000, 9_000))])
+    items = spark.createDataFrame([(5, passage)], ITEMS)
+    found = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert [(s.start, s.end) for s in found[1].spans] == [(700_000, 700_015)] and not found[2].spans
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()] == [2]
