@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from newsignal.session import materialise
+
 ROWS_PER_SALT = 100_000
 
 
@@ -81,3 +85,67 @@ def join_daily(daily: DataFrame, stocks: DataFrame) -> DataFrame:
     `daily` has one row per calendar day and is broadcast; a repeated day is an error.
     """
     return stocks.join(one_per_day(daily), "date")
+
+
+def day_statistics(articles: DataFrame, value: str) -> DataFrame:
+    """(date, articles, mean, minimum, maximum, deviation): one row per calendar day.
+
+    Counts the articles with a value; the deviation is that of a sample, NULL for one article.
+    """
+    v = F.col(value)
+    return articles.where("date is not null").groupBy("date").agg(
+        F.count(v).alias("articles"),
+        F.avg(v).alias("mean"),
+        F.min(v).alias("minimum"),
+        F.max(v).alias("maximum"),
+        F.stddev_samp(v).alias("deviation"),
+    )
+
+
+def join_statistics(articles: DataFrame, stocks: DataFrame, value: str) -> DataFrame:
+    """Stock rows with the statistics of the articles they would be paired with.
+
+    The join of every article with every stock row of its day repeats each day's
+    articles once per stock row. What a row needs to know of them is the same for
+    all stock rows of a day, so it is aggregated once and broadcast; no pair is
+    made. Days without articles have no rows, as in the join.
+    """
+    return join_daily(day_statistics(articles, value), stocks)
+
+
+def join_moments(articles: DataFrame, stocks: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """One row of statistics over all pairs of `join_by_day`, without making the pairs.
+
+    pairs; mean_<column> and std_<column> (of the population) for the columns
+    `left` of the articles and `right` of the stocks; cov_<l>_<r> for each two of
+    them. A pair counts if none of its values is missing.
+
+    A day with n articles and m stock rows has n * m pairs: its left sums count m
+    times, its right sums n times, and sums of products are products of sums.
+    Two passes over one row per day, the second around the means.
+    """
+
+    def per_side(df: DataFrame, columns: Sequence[str], n: str) -> DataFrame:
+        sums = [f(c).alias(f"{p}_{c}") for c in columns for p, f in (("s", F.sum), ("q", F.var_pop))]
+        return per_day(df.na.drop(subset=["date", *columns]).groupBy("date").agg(F.count("*").alias(n), *sums))
+
+    def day_means(columns: Sequence[str], n: str) -> list[Column]:
+        return [(F.col(f"s_{c}") / F.col(n)).alias(f"m_{c}") for c in columns]
+
+    days = per_side(articles, left, "_n").join(per_side(stocks, right, "_m"), "date")
+    days = days.select("*", *day_means(left, "_n"), *day_means(right, "_m"), (F.col("_n") * F.col("_m")).alias("_p"))
+    days = materialise(days)
+    first = days.agg(F.sum("_p"), *[F.sum(F.col(f"m_{c}") * F.col("_p")) for c in (*left, *right)]).first()
+    pairs = first[0] or 0
+    means = {c: v / pairs if pairs else None for c, v in zip((*left, *right), first[1:])}
+
+    def off(column: str) -> Column:
+        return F.col(f"m_{column}") - F.lit(means[column]).cast("double")
+
+    spread = {c: F.sum(F.col("_p") * (F.col(f"q_{c}") + off(c) * off(c))) for c in (*left, *right)}
+    return days.agg(
+        F.lit(pairs).cast("long").alias("pairs"),
+        *[F.lit(means[c]).cast("double").alias(f"mean_{c}") for c in (*left, *right)],
+        *[F.sqrt(s / F.sum("_p")).alias(f"std_{c}") for c, s in spread.items()],
+        *[(F.sum(F.col("_p") * off(a) * off(b)) / F.sum("_p")).alias(f"cov_{a}_{b}") for a in left for b in right],
+    )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import partial, reduce
-from math import ceil
+from operator import add, and_
+from typing import NamedTuple
 
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsignal.operators.metrics import binary_metrics
@@ -19,8 +18,6 @@ from newsignal.session import at_once
 TRAIN_END = "2025-11-12"
 TEST_START = "2025-11-13"
 
-ROWS_PER_TASK = 250_000
-
 TEST_BELOW = "33"  # first two hex digits: 51 of 256 values, one fifth of the keys
 
 
@@ -56,56 +53,106 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scale(df, fit_scaler(df.where(~F.col("is_test")), columns))
 
 
-def fit_linear_svm(
-    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4
-) -> LinearSVCModel:
-    """Hinge-loss linear SVM; `c` weighs the loss against the norm of the weights.
+class LinearSvm(NamedTuple):
+    """Weights by feature, intercept, the Newton steps taken and whether they came to rest."""
+
+    weights: dict[str, float]
+    intercept: float
+    steps: int
+    converged: bool
+
 
-    The solver runs until its steps change less than `tol`; still changing after
-    `max_iter` steps, or having no row to learn from, is an error.
+def _number(value) -> Column:
+    return F.lit(float(value))
+
+
+def fit_linear_svm(
+    train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-10
+) -> LinearSvm:
+    """Squared-hinge linear SVM by Newton steps; `c` weighs the loss against the norm.
+
+    Minimises |w|^2 / 2 + c * sum(max(0, 1 - y * (w, x))^2) with y = -1 or 1, where
+    a constant 1 among the x makes the intercept part of w. The optimum is unique.
+    Where the rows with a loss stay the same, the objective is quadratic, so a
+    step solves one small linear system. Each step is one aggregate: the loss
+    and the sums of x * x' and y * x over the rows with a loss, a number per pair
+    of features. A step that does not lower the objective is halved.
+
+    Rows with a missing feature or label are left out; a table without others is
+    an error. If the gradient is not within `tol` of zero, relative to the data,
+    after `max_iter` steps, the model says so in `converged`.
     """
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    ready = assembled.transform(train).select("_x", F.col(label).cast("double").alias("_y"))
-    rows = ready.count()
-    if not rows:
-        raise ValueError("no rows to train on")
-    # Every step of the solver is a job over all partitions: small tables take few.
-    ready = ready.coalesce(ceil(rows / ROWS_PER_TASK))
-    svm = LinearSVC(
-        featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=tol, standardization=False,
-        regParam=1.0 / (c * rows),
-    )
-    fitted = svm.fit(ready)
-    if fitted.hasSummary and fitted.summary().totalIterations >= max_iter:
-        raise ValueError(f"no convergence within {max_iter} steps")
-    return fitted
-
-
-def predict(df: DataFrame, model: LinearSVCModel, features: Sequence[str]) -> DataFrame:
-    """Adds `decision` (signed distance) and `prediction` (0/1)."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    out = model.transform(assembled.transform(df))
-    decision = F.get(vector_to_array(F.col("rawPrediction")), F.lit(1))
-    return out.select(
-        *df.columns, decision.alias("decision"), F.col("prediction").cast("int").alias("prediction")
-    )
-
-
-def train_and_predict(split: DataFrame, features: Sequence[str], label: str, max_iter: int = 1000) -> DataFrame:
-    """Predictions for the test rows of a table with `is_test`."""
+    n = len(features) + 1
+    xs = [*[F.col(f).cast("double") for f in features], F.lit(1.0)]
+    y = 2 * F.col(label).cast("double") - 1
+    known = reduce(and_, [x.isNotNull() & ~F.isnan(x) for x in [*xs, y]])
+    ready = train.where(known).select(*[x.alias(f"x{i}") for i, x in enumerate(xs)], y.alias("y"))
+    x = [F.col(f"x{i}") for i in range(n)]
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Objective, Hessian and right side of the Newton system at w."""
+        slack = 1 - F.col("y") * reduce(add, [_number(v) * k for v, k in zip(w, x)])
+        here = ready.withColumn("slack", slack)
+        active = F.col("slack") > 0
+
+        def total(value: Column) -> Column:
+            return F.coalesce(F.sum(F.when(active, value)), F.lit(0.0))
+
+        row = here.agg(
+            F.count("*"),
+            total(F.col("slack") * F.col("slack")),
+            *[total(F.col("y") * k) for k in x],
+            *[total(x[i] * x[j]) for i, j in upper],
+        ).first()
+        if not row[0]:
+            raise ValueError("no rows to train on")
+        hessian, right = np.eye(n), 2 * c * np.array(row[2 : 2 + n])
+        for (i, j), v in zip(upper, row[2 + n :]):
+            hessian[i, j] += 2 * c * v
+            hessian[j, i] = hessian[i, j]
+        return float(w @ w / 2 + c * row[1]), hessian, right
+
+    w = np.zeros(n)
+    value, hessian, right = at(w)
+    steps, step = 0, 1.0
+    scale = 1 + np.abs(right).max()
+    while steps < max_iter and np.abs(hessian @ w - right).max() > tol * scale:
+        target = w + step * (np.linalg.solve(hessian, right) - w)
+        found = at(target)
+        steps += 1
+        if found[0] < value or step < 1e-9:
+            w, step = target, 1.0
+            value, hessian, right = found
+        else:
+            step /= 2
+    converged = bool(np.abs(hessian @ w - right).max() <= tol * scale)
+    return LinearSvm(dict(zip(features, w[:-1].tolist())), float(w[-1]), steps, converged)
+
+
+def predict(df: DataFrame, model: LinearSvm) -> DataFrame:
+    """Adds `decision` (signed distance times the norm) and `prediction` (0/1); NULL where a feature is missing."""
+    decision = reduce(add, [_number(w) * F.col(f) for f, w in model.weights.items()], _number(model.intercept))
+    return df.withColumn("decision", decision).withColumn("prediction", (F.col("decision") > 0).cast("int"))
+
+
+def train_and_predict(split: DataFrame, features: Sequence[str], label: str, max_iter: int = 100) -> DataFrame:
+    """Predictions for the test rows of a table with `is_test`, and `converged`."""
     scaled = standardize(split.na.drop(subset=[*features, label]), features)
     model = fit_linear_svm(scaled.where(~F.col("is_test")), features, label, max_iter=max_iter)
-    return predict(scaled.where("is_test"), model, features)
+    return predict(scaled.where("is_test"), model).withColumn("converged", F.lit(model.converged))
 
 
 def model_report(
-    split: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, max_iter: int = 1000
+    split: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, max_iter: int = 100
 ) -> DataFrame:
-    """(model, accuracy, auc): one classifier per feature set."""
+    """(model, accuracy, auc, converged): one classifier per feature set."""
 
     def one(name: str, features: Sequence[str]) -> DataFrame:
-        predicted = train_and_predict(split, features, label, max_iter)
-        return binary_metrics(predicted, label, "decision").withColumn("model", F.lit(name))
+        scaled = standardize(split.na.drop(subset=[*features, label]), features)
+        fitted = fit_linear_svm(scaled.where(~F.col("is_test")), features, label, max_iter=max_iter)
+        found = binary_metrics(predict(scaled.where("is_test"), fitted), label, "decision")
+        return found.withColumns({"model": F.lit(name), "converged": F.lit(fitted.converged)})
 
     rows = at_once(split.sparkSession, [partial(one, n, f) for n, f in feature_sets.items()])
-    return reduce(DataFrame.unionByName, rows).select("model", "accuracy", "auc")
+    return reduce(DataFrame.unionByName, rows).select("model", "accuracy", "auc", "converged")

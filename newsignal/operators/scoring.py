@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +12,7 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsignal.functions.labels import label_or_unknown
 from newsignal.schemas import SCORE
@@ -19,6 +21,76 @@ from newsignal.schemas import SCORE
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
+class Model(NamedTuple):
+    """`load` returns the scorer; `max_words` cuts its input, by default texts stay whole."""
+
+    load: Callable[[], Scorer]
+    max_words: int | None = None
+
+
+def first_words(texts: pd.Series, n: int | None) -> pd.Series:
+    return texts if n is None else texts.map(lambda t: t if t is None else " ".join(t.split(None, n)[:n]))
+
+
+def mini_batches(texts: pd.Series, rows: int, words: int | None) -> Iterator[pd.Series]:
+    """The texts by length, at most `rows` at a time.
+
+    A model pads the texts of a batch to its longest one. Texts of like length
+    pad little, and a batch ends before `words` padded words are reached, though
+    one text always fits.
+    """
+    sizes = texts.fillna("").str.count(r"\S+").sort_values(kind="stable")
+    start = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= rows or words is not None and size * (i - start + 1) > words):
+            yield texts[sizes.index[start:i]]
+            start = i
+    if start < len(sizes):
+        yield texts[sizes.index[start:]]
+
+
+def score_texts(
+    df: DataFrame, text: str, models: Mapping[str, Model], batch: int | None = None, batch_words: int | None = None
+) -> DataFrame:
+    """Adds a struct (label, score) per model, named like the model; own columns of these names are replaced.
+
+    All models run in one pass over the texts: each row crosses to Python once.
+    Models are loaded once per task. Texts arrive in Arrow batches and are handed
+    over in mini-batches of up to `batch` rows and `batch_words` padded words,
+    texts of like length together. Without a label a row gets UNKNOWN and 0.
+    """
+    found = T.StructType([T.StructField(name, SCORE) for name in models])
+
+    @F.pandas_udf(found)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorers = {name: m.load() for name, m in models.items()}
+        for texts in batches:
+            texts = texts.reset_index(drop=True)
+            out = {}
+            for name, scorer in scorers.items():
+                cut = first_words(texts, models[name].max_words)
+                parts = [
+                    scorer(part)[["label", "score"]].set_axis(part.index)
+                    for part in mini_batches(cut, batch or max(len(cut), 1), batch_words)
+                ]
+                scored = pd.concat(parts).sort_index() if parts else pd.DataFrame({"label": [], "score": []})
+                out[name] = scored.where(scored.notna(), None).to_dict("records")
+            yield pd.DataFrame(out, columns=list(models))
+
+    inside = [c for c in df.columns if c not in models]
+    scored = df.select(*inside, run(F.col(text)).alias("_scored"))
+    label, score = lambda n: F.col(f"_scored.{n}.label"), lambda n: F.col(f"_scored.{n}.score")
+    return scored.select(
+        *inside,
+        *[
+            F.struct(
+                label_or_unknown(label(n)).alias("label"), F.coalesce(score(n), F.lit(0.0)).alias("score")
+            ).alias(n)
+            for n in models
+        ],
+    )
+
+
 def score_text(
     df: DataFrame,
     text: str,
@@ -28,35 +100,9 @@ def score_text(
     batch: int | None = None,
     max_words: int | None = None,
 ) -> DataFrame:
-    """Adds a label and a score per row from a model that runs outside Spark SQL.
-
-    `load` is called once per task and returns the scorer; texts arrive in Arrow
-    batches and are handed over in mini-batches of `batch` rows. `max_words`
-    cuts the input for models with a length limit; by default texts stay whole.
-    Without a label a row gets UNKNOWN and 0.
-    """
-
-    @F.pandas_udf(SCORE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = load()
-        for texts in batches:
-            step = batch or max(len(texts), 1)
-            parts = [scorer(texts.iloc[i : i + step]) for i in range(0, len(texts), step)]
-            yield pd.concat(parts, ignore_index=True)[["label", "score"]]
-
-    body = F.col(text)
-    if max_words is not None:
-        body = F.array_join(F.slice(F.split(body, r"\s+"), 1, max_words), " ")
-    return (
-        df.withColumn("_scored", run(body))
-        .withColumns(
-            {
-                label: label_or_unknown(F.col("_scored.label")),
-                score: F.coalesce(F.col("_scored.score"), F.lit(0.0)),
-            }
-        )
-        .drop("_scored")
-    )
+    """Adds a label and a score per row from one model; see `score_texts`."""
+    scored = score_texts(df, text, {"_model": Model(load, max_words)}, batch)
+    return scored.withColumns({label: F.col("_model.label"), score: F.col("_model.score")}).drop("_model")
 
 
 class KeywordScorer:

@@ -291,15 +291,14 @@ def labelled_bars(spark, sf_dir):
     )
 
 
-def polarity_by_stock(spark, sf_dir):
-    sizes = tables.given(spark, sf_dir, "documents").select(tables.article_date().alias("date"))
-    return joins.join_by_day(
-        polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "doc_id", joins.day_sizes(sizes)
-    )
+def sentiment_stock_join(spark, sf_dir):
+    """Every bar with the statistics of all articles of its day; the pairs are not made."""
+    return rounded(joins.join_statistics(polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "lexicon_polarity"))
 
 
-def sentiment_stock_join(spark, sf_dir):
-    return rounded(polarity_by_stock(spark, sf_dir))
+def join_moments(spark, sf_dir):
+    bars = labelled_bars(spark, sf_dir)
+    return rounded(joins.join_moments(polarity(spark, sf_dir), bars, ["lexicon_polarity"], ["close", "movement"]))
 
 
 def sentiment_stock_join_daily(spark, sf_dir):
@@ -333,39 +332,53 @@ def binary_metrics(spark, sf_dir):
     return rounded(metrics.binary_metrics(quality_scores(spark, sf_dir)))
 
 
+HEADLINE_WORDS = 64
+
+SCORERS = {
+    "keywords": scoring.Model(load_keyword_scorer),
+    "headlines": scoring.Model(load_keyword_scorer, HEADLINE_WORDS),
+}
+
+
+def scored_twice(spark, sf_dir):
+    return scoring.score_texts(tables.articles(spark, sf_dir), "text", SCORERS, batch=32, batch_words=100_000)
+
+
+def score_texts(spark, sf_dir):
+    """A model of whole texts and one of their beginnings, in one pass."""
+    fields = [F.col(f"{n}.{f}").alias(f"{n}_{f}") for n in SCORERS for f in ("label", "score")]
+    return rounded(scored_twice(spark, sf_dir).select("doc_id", *fields))
+
+
 def model_features(spark, sf_dir):
     """Bars with the daily mean of three sentiment scores, split by bar."""
-    keyword = article_plan.signed_scores(keyword_scored(spark, sf_dir), "label", "score")
-    trained = article_plan.signed_scores(classified(spark, sf_dir), "label", "score").withColumn(
-        "date", tables.article_date()
+    both = scored_twice(spark, sf_dir).select(
+        "date", *[labels.signed(F.col(f"{n}.label"), F.col(f"{n}.score")).alias(n) for n in SCORERS]
     )
-    bars = labelled_bars(spark, sf_dir)
-    for daily in (
-        lexicon.daily_mean(polarity(spark, sf_dir), name="lexicon_mean"),
-        lexicon.daily_mean(keyword, "score", "keyword_mean"),
-        lexicon.daily_mean(trained, "score", "trained_mean"),
-    ):
-        bars = joins.join_daily(daily, bars)
+    days = both.groupBy("date").agg(*[F.avg(n).alias(f"{n}_mean") for n in SCORERS])
+    lexicon_days = lexicon.daily_mean(polarity(spark, sf_dir), name="lexicon_mean")
+    bars = joins.join_daily(days, joins.join_daily(lexicon_days, labelled_bars(spark, sf_dir)))
     return materialise(model.hash_split(bars, "ticker", "date"))
 
 
 FEATURE_SETS = {
     "No_Sentiment": ["close"],
     "Lexicon": ["close", "lexicon_mean"],
-    "Keywords": ["close", "keyword_mean"],
-    "Trained": ["close", "trained_mean"],
+    "Keywords": ["close", "keywords_mean"],
+    "Headlines": ["close", "headlines_mean"],
 }
 
 
 def svm_predictions(spark, sf_dir):
-    joined = polarity_by_stock(spark, sf_dir)
-    split = materialise(model.hash_split(joined, "ticker", "date"))
-    out = model.train_and_predict(split, ["close", "lexicon_polarity"], "movement")
-    return out.select("doc_id", "ticker", "date", "movement", "decision", "prediction")
+    daily = lexicon.daily_mean(polarity(spark, sf_dir))
+    bars = joins.join_daily(daily, labelled_bars(spark, sf_dir))
+    split = materialise(model.hash_split(bars, "ticker", "date"))
+    out = model.train_and_predict(split, ["close", "mean_polarity"], "movement")
+    return rounded(out.select("ticker", "date", "movement", "decision", "prediction", "converged"))
 
 
 def model_report(spark, sf_dir):
-    return model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement")
+    return rounded(model.model_report(model_features(spark, sf_dir), FEATURE_SETS, "movement"))
 
 
 def registered() -> dict[str, Query]:
@@ -397,6 +410,7 @@ def registered() -> dict[str, Query]:
         "batch_ids": batch_ids,
         "union_sources": union_sources,
         "score_text": score_text,
+        "score_texts": score_texts,
         "classify_text": classify_text,
         "html_links": html_links,
         "html_paragraphs": html_paragraphs,
@@ -417,6 +431,7 @@ def registered() -> dict[str, Query]:
         "stock_features": all_features,
         "sentiment_stock_join": sentiment_stock_join,
         "sentiment_stock_join_daily": sentiment_stock_join_daily,
+        "join_moments": join_moments,
         "hash_split": hash_split,
         "time_split": time_split,
         "standardize": standardize,

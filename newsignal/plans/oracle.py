@@ -115,17 +115,25 @@ CLASS5 = """case when lexicon_polarity < -0.5 then 'Very_Negative' when lexicon_
 
 DAILY = "daily as (select date, avg(lexicon_polarity) as mean_polarity from polarity group by date)"
 
-KEYWORDS = f"""{ARTICLES},
-hits as (
-  select doc_id, date,
-    len(regexp_extract_all(lower(text), {quoted('|'.join(tables.KEYWORDS_UP))})) as up,
-    len(regexp_extract_all(lower(text), {quoted('|'.join(tables.KEYWORDS_DOWN))})) as down
+def keyword_ctes(name: str, body: str) -> str:
+    """Table `name` (doc_id, date, label, score) of the keyword balance of an expression on the text."""
+    up, down = (quoted("|".join(k)) for k in (tables.KEYWORDS_UP, tables.KEYWORDS_DOWN))
+    return f"""{name}_hits as (
+  select doc_id, date, len(regexp_extract_all(lower({body}), {up})) as up,
+    len(regexp_extract_all(lower({body}), {down})) as down
   from articles),
-keyword as (
+{name} as (
   select doc_id, date,
     case when up > down then 'POSITIVE' when up < down then 'NEGATIVE' else 'UNKNOWN' end as label,
     case when up <> down then abs(cast(up - down as double) / (up + down)) else 0.0 end as score
-  from hits)"""
+  from {name}_hits)"""
+
+
+KEYWORDS = f"{ARTICLES}, {keyword_ctes('keyword', 'text')}"
+
+BEGINNING = f"array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:{catalog.HEADLINE_WORDS}], ' ')"
+
+SCORED_TWICE = f"{keyword_ctes('keywords', 'text')}, {keyword_ctes('headlines', BEGINNING)}"
 
 LONG = f"""{POLARITY}, {DAILY},
 wide as (
@@ -277,6 +285,55 @@ RSI = "case when rn < 14 then null when loss > 0 then 100 - 100 / (1 + gain / lo
 OBV = f"cast(sum(sign(d) * volume) {BY}) as bigint)"
 
 SPLIT = "substr(md5({}), 1, 2) < '33'"
+BAR_SPLIT = SPLIT.format("ticker || '|' || strftime(date, '%Y-%m-%d')")
+
+SIGNED = "avg(case when label = 'NEGATIVE' then -score else score end)"
+FEATURE_TABLE = f"""feature_table as materialized (
+  select ticker, date, close, movement, {BAR_SPLIT} as is_test,
+    mean_polarity, mean_polarity as lexicon_mean, keywords_mean, headlines_mean
+  from labelled join daily using (date)
+    join (select date, {SIGNED} as keywords_mean from keywords group by date) using (date)
+    join (select date, {SIGNED} as headlines_mean from headlines group by date) using (date))"""
+
+
+def determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    minors = [determinant([row[:j] + row[j + 1 :] for row in m[1:]]) for j in range(len(m))]
+    return "(" + " ".join(f"{'-+'[j % 2 == 0]} {m[0][j]} * {d}" for j, d in enumerate(minors)) + ")"
+
+
+def svm_ctes(name: str, features: Sequence[str], source: str, steps: int = 40) -> str:
+    """`<name>` (ticker, date, movement, decision): test rows; plain Newton steps, solved by Cramer's rule."""
+    n = len(features) + 1
+    fit = ", ".join(f"avg({f}) as m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) as s_{f}" for f in features)
+    scaled = ", ".join(f"({f} - m_{f}) / s_{f} as x{i}" for i, f in enumerate(features))
+    dot = " + ".join(f"w{i} * x{i}" for i in range(n))
+    loss = f"1 - y * ({dot}) > 0"
+    a = {(i, j): f"a{min(i, j)}{max(i, j)}" for i in range(n) for j in range(n)}
+    sums = ", ".join(f"coalesce(sum(x{i} * x{j}) filter ({loss}), 0) * 2 + {int(i == j)} as a{i}{j}" for i in range(n) for j in range(i, n))
+    right = ", ".join(f"coalesce(sum(y * x{i}) filter ({loss}), 0) * 2 as r{i}" for i in range(n))
+    whole = determinant([[a[i, j] for j in range(n)] for i in range(n)])
+    solved = ", ".join(
+        determinant([[f"r{i}" if j == k else a[i, j] for j in range(n)] for i in range(n)]) + f" / {whole}" for k in range(n)
+    )
+    return f"""{name}_x as materialized (
+  select ticker, date, movement, is_test, 2.0::double * movement - 1 as y, {scaled}, 1.0::double as x{n - 1}
+  from {source}, (select {fit} from {source} where not is_test)),
+{name}_w(step, {', '.join(f'w{i}' for i in range(n))}) as (
+  select 0, {', '.join('0.0::double' for _ in range(n))}
+  union all
+  select step + 1, {solved} from (
+    select step, {sums}, {right} from {name}_w, {name}_x where not is_test and step < {steps} group by step)),
+{name} as (
+  select ticker, date, movement, {dot} as decision from {name}_x, (select * from {name}_w where step = {steps}) where is_test)"""
+
+
+def report_row(name: str, source: str) -> str:
+    return f"""select {quoted(name)} as model, round(avg(case when (decision > 0) = (movement = 1) then 1.0 else 0.0 end), 6) as accuracy,
+  round((sum(case when movement = 1 then mid else 0 end) - count_if(movement = 1) * (count_if(movement = 1) + 1) / 2.0)
+    / (count_if(movement = 1) * count_if(movement <> 1)), 6) as auc, true as converged
+from (select *, rank() over (order by decision) + (count(*) over (partition by decision) - 1) / 2.0 as mid from {source})"""
 
 
 def bars_select(columns: str, ctes: str = BARS) -> str:
@@ -393,15 +450,31 @@ select ticker, date, round(high, 3) as high, round(low, 3) as low, round(close,
   {round_all(bands, 3)}, {OBV} as obv, {round_all(forwards, 3)}, round(high - low, 3) as day_range,
   round(ema_12 - ema_26, 3) as macd, {moves}, 0 as earnings_bool, 0 as split_indicator, round(value, 3) as vix_close
 from sides join (select ticker, date, {', '.join(emas)} from ema) using (ticker, date) left join series using (date)""",
-        "sentiment_stock_join": f"""with {POLARITY}, {EVENT_BARS} select doc_id, date, round(lexicon_polarity, 6) as lexicon_polarity,
-  ticker, close, movement from polarity join labelled using (date)""",
+        "sentiment_stock_join": f"""with {POLARITY}, {EVENT_BARS} select ticker, date, close, movement, count(*) as articles,
+  round(avg(lexicon_polarity), 6) as mean, round(min(lexicon_polarity), 6) as minimum, round(max(lexicon_polarity), 6) as maximum,
+  round(stddev_samp(lexicon_polarity), 6) as deviation
+from polarity join labelled using (date) group by ticker, date, close, movement""",
+        "join_moments": f"""with {POLARITY}, {EVENT_BARS} select count(*) as pairs,
+  {round_all({f"{p}_{c}": f"{f}({c})" for p, f in (("mean", "avg"), ("std", "stddev_pop")) for c in ("lexicon_polarity", "close", "movement")}, 6)},
+  {round_all({f"cov_lexicon_polarity_{c}": f"covar_pop(lexicon_polarity, {c})" for c in ("close", "movement")}, 6)}
+from polarity join labelled using (date)""",
+        "score_texts": f"""with {ARTICLES}, {SCORED_TWICE} select doc_id, k.label as keywords_label,
+  round(k.score, 6) as keywords_score, h.label as headlines_label, round(h.score, 6) as headlines_score
+from keywords k join headlines h using (doc_id)""",
+        "svm_predictions": f"""with recursive {POLARITY}, {DAILY}, {EVENT_BARS}, {SCORED_TWICE}, {FEATURE_TABLE},
+{svm_ctes("fitted", ["close", "mean_polarity"], "feature_table")}
+select ticker, date, movement, round(decision, 6) as decision, case when decision > 0 then 1 else 0 end as prediction,
+  true as converged from fitted""",
+        "model_report": f"""with recursive {POLARITY}, {DAILY}, {EVENT_BARS}, {SCORED_TWICE}, {FEATURE_TABLE},
+{", ".join(svm_ctes(f"fit_{name}", features, "feature_table") for name, features in catalog.FEATURE_SETS.items())}
+{" union all ".join(report_row(name, f"fit_{name}") for name in catalog.FEATURE_SETS)}""",
         "sentiment_stock_join_daily": f"""with {POLARITY}, {DAILY}, {EVENT_BARS} select ticker, date, close, movement,
   round(mean_polarity, 6) as mean_polarity from labelled join daily using (date)""",
         "hash_split": f"select doc_id, {SPLIT.format('cast(doc_id as varchar)')} as is_test from documents",
         "time_split": f"""with {BARS} select ticker, date, close, date >= date '{test_start}' as is_test from bars
   where date <= date '{train_end}' or date >= date '{test_start}'""",
         "standardize": f"""with {BARS}, split as (
-  select ticker, date, close, volume, {SPLIT.format("ticker || '|' || strftime(date, '%Y-%m-%d')")} as is_test from bars),
+  select ticker, date, close, volume, {BAR_SPLIT} as is_test from bars),
 fit as (select avg(close) as mc, stddev_pop(close) as sc, avg(volume) as mv, stddev_pop(volume) as sv from split where not is_test)
 select ticker, date, round((close - mc) / sc, 6) as close, round((volume - mv) / sv, 6) as volume, is_test from split, fit""",
         "binary_metrics": """with s as (

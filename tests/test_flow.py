@@ -54,6 +54,6 @@ def test_files_to_report(spark, tmp_path):
 
     daily = joins.join_daily(lexicon.daily_mean(scored), bars)
     split = model.hash_split(daily, "ticker", "date")
-    report = model.model_report(split, {"none": ["close"], "lexicon": ["close", "mean_polarity"]}, "movement", 10)
+    report = model.model_report(split, {"none": ["close"], "lexicon": ["close", "mean_polarity"]}, "movement")
     assert {r.model for r in report.collect()} == {"none", "lexicon"}
-    assert all(0 <= r.accuracy <= 1 for r in report.collect())
+    assert all(0 <= r.accuracy <= 1 and r.converged for r in report.collect())

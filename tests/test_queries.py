@@ -20,7 +20,7 @@ def con():
 def test_sql_belongs_to_queries():
     assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"classify_text", "svm_predictions", "model_report"}
+    assert set(QUERIES) - set(SQL) == {"classify_text"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])

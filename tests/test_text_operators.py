@@ -140,6 +140,32 @@ def test_mini_batches(spark):
     assert sorted(labels) == ["n2"] * 2 + ["n4"] * 8
 
 
+def test_texts_of_like_length_are_batched_by_padded_words():
+    texts = pd.Series(["a " * n for n in (9, 1, 5, 1, 50, 2, 5)] + [None])
+    found = [list(b.index) for b in scoring.mini_batches(texts, 3, 12)]
+    assert found == [[7, 1, 3], [5, 2], [6], [0], [4]]
+    assert list(scoring.mini_batches(texts[:0], 3, 12)) == []
+
+
+def test_several_models_in_one_pass(spark):
+    def load():
+        def scorer(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({"label": texts, "score": texts.str.len().astype("float64")}, index=texts.index)
+
+        return scorer
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "", None, "dd  e f", "x"])], "id int, text string")
+    models = {"whole": scoring.Model(load), "two": scoring.Model(load, 2)}
+    out = scoring.score_texts(df.withColumn("two", F.lit("own")), "text", models, batch=2, batch_words=3)
+    assert out.columns == ["id", "text", "whole", "two"]
+    got = {r.id: (r.whole.label, r.two.label, r.two.score) for r in out.collect()}
+    assert got == {
+        0: ("a b c", "a b", 3.0), 1: ("", "", 0.0), 2: ("UNKNOWN", "UNKNOWN", 0.0), 3: ("dd  e f", "dd e", 4.0), 4: ("x", "x", 1.0)
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_text_classifier(spark):
     rows = [(i, "fine grand day" if i % 2 else "poor weak night", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, text string, y int")
