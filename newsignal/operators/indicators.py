@@ -16,14 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from newsignal.functions.labels import movement, percent_of
-from newsignal.operators.ordered import (
-    BLOCK_ROWS,
-    block_of,
-    block_totals_before,
-    block_window,
-    in_blocks,
-    with_position,
-)
+from newsignal.operators.ordered import BLOCK_ROWS, block_window, in_blocks, with_position
+from newsignal.operators.scan import Scan, block_carries, block_maps, with_scans
+from newsignal.session import materialise
 
 KEY = "ticker"
 KEYS = [KEY, "_block"]
@@ -121,9 +116,9 @@ def movement_columns(horizons: Sequence[int]) -> dict[str, Column]:
     return {movement_name(k): movement(F.col(forward_name(k))) for k in horizons}
 
 
-# Exponential means. y[0] = x[0], y[t] = (1-a) y[t-1] + a x[t], a = 2/(span+1).
-# Inside a block the recurrence is a scaled prefix sum; the value carried into a
-# block is a sum over the tails of a few blocks before it.
+# Exponential means. y[0] = x[0], y[t] = (1-a) y[t-1] + a x[t], a = 2/(span+1):
+# a scan with the factor 1-a over the values a * x. Rows without a value leave
+# the mean as it is. The volume balance is a scan with the factor 1.
 
 
 def decay(span: float) -> float:
@@ -136,68 +131,33 @@ def ema_block_rows(spans: Sequence[float], limit: int = BLOCK_ROWS) -> int:
     return max(1, min(limit, int(250 / -math.log10(steepest))))
 
 
-def _weight(span: float) -> Column:
-    return F.when(F.col("_pos") == 0, 1.0).otherwise(1 - decay(span))
+def ema_scans(spans: Sequence[float]) -> list[Scan]:
+    return [Scan(f"ema_{s}", f"_share_{s}", max(decay(s), 0.0), from_first=True) for s in spans]
 
 
-def _inside(rows: int) -> Column:
-    return F.col("_pos") - F.col("_block") * rows
+def ema_inputs(value: str, spans: Sequence[float]) -> dict[str, Column]:
+    return {f"_share_{s}": F.col(value) * min(1 - decay(s), 1.0) for s in spans}
 
 
-def ema_carries(source: DataFrame, value: str, spans: Sequence[float], rows: int) -> DataFrame:
-    """(ticker, _block, _carry_<span>): the mean at the end of the block before.
+OBV = Scan("obv", "_signed")
 
-    Block tails are plain sums with map-side combine. A tail reaches later
-    blocks until its factor is below 1e-30, far under the precision of a double.
-    """
-    spans = [s for s in spans if s > 1]
-    blocks = source.withColumn("_block", block_of(rows))
-    tails = blocks.groupBy(*KEYS).agg(
-        *[
-            F.sum(
-                _weight(s) * F.col(value) * F.pow(F.lit(decay(s)), F.lit(rows - 1) - _inside(rows))
-            ).alias(f"_tail_{s}")
-            for s in spans
-        ],
-    )
-    slowest = max(decay(s) for s in spans)
-    reach = max(1, math.ceil(30 / (-math.log10(slowest) * rows)))
-    return (
-        tails.withColumn("_ahead", F.explode(F.sequence(F.lit(0), F.lit(reach))))
-        .groupBy(KEY, (F.col("_block") + 1 + F.col("_ahead")).alias("_block"))
-        .agg(
-            *[
-                F.sum(F.col(f"_tail_{s}") * F.pow(F.lit(decay(s)), F.col("_ahead") * rows)).alias(
-                    f"_carry_{s}"
-                )
-                for s in spans
-            ]
-        )
-    )
 
+def scanned(
+    bars: DataFrame, scans: Sequence[Scan], inputs: dict[str, Column], rows: int, before: int = 0
+) -> DataFrame:
+    """`bars` with a column per scan; `inputs` are window columns over blocks with `before` rows of the last one.
 
-def ema_column(value: str, span: float, rows: int, w: WindowSpec) -> Column:
-    """Needs `_carry_<span>` and `_core` from the block the row belongs to."""
-    if span <= 1:
-        return F.col(value)
-    place = _inside(rows)
-    term = F.when(
-        F.col("_core"), _weight(span) * F.col(value) * F.pow(F.lit(decay(span)), -place)
-    )
-    local = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay(span)), place)
-    carried = F.coalesce(F.col(f"_carry_{span}"), F.lit(0.0)) * F.pow(F.lit(decay(span)), place + 1)
-    return local + carried
+    The numbered rows are written, because the block maps and the result both read them.
+    """
+    blocked = in_blocks(materialise(positioned(bars)), rows, before).withColumns(inputs)
+    carries = block_carries(block_maps(blocked, KEY, scans), KEY, scans)
+    return core(with_scans(blocked, carries, KEY, scans)).drop(*inputs)
 
 
 def with_ema(bars: DataFrame, spans: Sequence[float] = EMA_SPANS, value: str = "close", rows: int | None = None) -> DataFrame:
+    """Adds ema_<span>; NULL before the first value of a ticker, unchanged where the value is missing."""
     rows = min(rows or BLOCK_ROWS, ema_block_rows(spans))
-    source = positioned(bars)
-    blocked = in_blocks(source, rows)
-    if any(s > 1 for s in spans):
-        blocked = blocked.join(ema_carries(source, value, spans, rows), KEYS, "left")
-    w = block_window(KEY)
-    out = blocked.withColumns({f"ema_{s}": ema_column(value, s, rows, w) for s in spans})
-    return core(out).drop(*[f"_carry_{s}" for s in spans])
+    return scanned(bars, ema_scans(spans), ema_inputs(value, spans), rows)
 
 
 # One indicator at a time.
@@ -227,35 +187,8 @@ def bollinger(bars: DataFrame, n: int = 20, width: float = 2, rows: int = BLOCK_
     return evaluate(bars, bollinger_columns(block_window(KEY), n, width), n - 1, rows=rows)
 
 
-def obv_carries(source: DataFrame, rows: int) -> DataFrame:
-    """(ticker, _block, _obv_before): signed volume of all earlier blocks."""
-    steps = (
-        in_blocks(source.select(KEY, "close", "volume", "_pos"), rows, before=1)
-        .withColumn("_obv_before", signed_volume(block_window(KEY)))
-        .where("_core")
-    )
-    totals = steps.groupBy(*KEYS).agg(F.sum("_obv_before").alias("_obv_before"))
-    return block_totals_before(totals, KEY, "_obv_before")
-
-
-def obv_column(w: WindowSpec) -> Column:
-    """Needs `_signed` per row and `_obv_before` per block."""
-    inside = F.sum(F.when(F.col("_core"), F.col("_signed"))).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return inside + F.col("_obv_before")
-
-
 def obv(bars: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    w = block_window(KEY)
-    source = positioned(bars)
-    blocked = (
-        in_blocks(source, rows, before=1)
-        .withColumn("_signed", signed_volume(w))
-        .join(obv_carries(source, rows), KEYS)
-        .withColumn("obv", obv_column(w))
-    )
-    return core(blocked).drop("_signed", "_obv_before")
+    return scanned(bars, [OBV], {"_signed": signed_volume(block_window(KEY))}, rows, before=1)
 
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int] = HORIZONS, rows: int = BLOCK_ROWS) -> DataFrame:

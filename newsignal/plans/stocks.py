@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newsignal.operators import indicators as ind
 from newsignal.operators.joins import left_join_series
 from newsignal.operators.ordered import BLOCK_ROWS, block_window, in_blocks
+from newsignal.operators.scan import block_carries, block_maps, with_scans
+from newsignal.session import materialise
 
 
 def stock_features(
@@ -15,30 +17,27 @@ def stock_features(
 ) -> DataFrame:
     """All indicators, forward returns and labels of every bar.
 
-    One sort per (ticker, block) serves every window. The two running values,
-    exponential means and volume balance, enter a block through small carry
-    tables that are joined on the same keys.
+    The numbered bars are written once. One sort per (ticker, block) serves every
+    window; the running values, exponential means and volume balance, enter a
+    block through one small table of carries.
     """
     rows = min(rows, ind.ema_block_rows(ind.EMA_SPANS))
     w = block_window(ind.KEY)
-    source = ind.positioned(bars)
+    source = materialise(ind.positioned(bars))
     back, ahead = max(ind.SMA_WINDOWS), max(ind.HORIZONS)
-    blocked = (
-        in_blocks(source, rows, back, ahead)
-        .withColumns({**ind.gain_loss_columns(w), "_signed": ind.signed_volume(w)})
-        .join(ind.ema_carries(source, "close", ind.EMA_SPANS, rows), ind.KEYS, "left")
-        .join(ind.obv_carries(source, rows), ind.KEYS)
-        .withColumns(
-            {
-                "daily_return": ind.daily_return_column(w),
-                **ind.sma_columns(ind.SMA_WINDOWS, w),
-                **{f"ema_{s}": ind.ema_column("close", s, rows, w) for s in ind.EMA_SPANS},
-                "rsi": ind.rsi_column(w),
-                **ind.bollinger_columns(w),
-                "obv": ind.obv_column(w),
-                **ind.forward_columns(ind.HORIZONS, w),
-            }
-        )
+    scans = [*ind.ema_scans(ind.EMA_SPANS), ind.OBV]
+    inputs = {**ind.ema_inputs("close", ind.EMA_SPANS), "_signed": ind.signed_volume(w)}
+    narrow = in_blocks(source.select(ind.KEY, "close", "volume", "_pos"), rows, before=1).withColumns(inputs)
+    carries = block_carries(block_maps(narrow, ind.KEY, scans), ind.KEY, scans)
+    wide = in_blocks(source, rows, back, ahead).withColumns({**ind.gain_loss_columns(w), **inputs})
+    blocked = with_scans(wide, carries, ind.KEY, scans).withColumns(
+        {
+            "daily_return": ind.daily_return_column(w),
+            **ind.sma_columns(ind.SMA_WINDOWS, w),
+            "rsi": ind.rsi_column(w),
+            **ind.bollinger_columns(w),
+            **ind.forward_columns(ind.HORIZONS, w),
+        }
     )
     features = ind.core(blocked).withColumns(
         {

@@ -133,3 +133,35 @@ def test_open_rows_can_be_dropped(spark):
     bars = frame(spark, {"a": walk(40, 4)})
     assert ind.movement_labels(bars).count() == 40
     assert ind.movement_labels(bars, keep_open_rows=False).count() == 10
+
+
+def recurrence(closes, span):
+    out, y, d = [], None, 1 - 2 / (span + 1)
+    for x in closes:
+        y = y if x is None else x if y is None else d * y + (1 - d) * x
+        out.append(y)
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1024])
+def test_missing_closes_leave_the_mean_as_it_is(spark, rows):
+    rng = random.Random(3)
+    holes = [None, None, *[rng.choice([None, None, float(rng.randrange(1, 90))]) for _ in range(700)]]
+    series = {"a": [1.0, None, 3.0], "b": holes, "c": [None, None]}
+    data = [(t, START + timedelta(i), x, 5) for t, xs in series.items() for i, x in enumerate(xs)]
+    bars = spark.createDataFrame(data, "ticker string, date date, close double, volume long")
+    spans = (1, 2, 5, 50)
+    out = ind.with_ema(bars, spans, rows=rows).cache()
+    for ticker, closes in series.items():
+        for span in spans:
+            near(column(out, f"ema_{span}", ticker), recurrence(closes, span), 1e-12)
+    assert column(out, "ema_2") == [1.0, 1.0, pytest.approx(1 / 3 + 2)]
+    macd = ind.macd(bars, rows=rows)
+    near(column(macd, "macd", "b"), [None if x is None else x - y for x, y in zip(recurrence(holes, 12), recurrence(holes, 26))], 1e-9)
+
+
+def test_feature_table_reads_the_source_once(spark):
+    out = stock_features(frame(spark, {"a": walk(60, 1)}))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in text  # the bars themselves are read before, and written
+    assert text.count("Exchange hashpartitioning") <= 6
