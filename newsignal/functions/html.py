@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,28 +15,58 @@ PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
 PARAGRAPH_CLOSE = r"(?is)</p\s*>.*"
 ENCLOSING_CLOSE = r"(?is)</(?:body|html|article|div|footer)\s*>.*"
 TAG = r"(?s)<[A-Za-z/!?][^>]*>"
-ITEM_OPEN = r"(?i)<li(?:\s[^>]*)?>"
-ITEM_CLOSE = r"(?is)</(?:li|ul|ol)\s*>.*"
-LINK = r"(?is)<a\s[^>]*?href\s*=[^>]*>.*?(?:</a\s*>|$)"
 HREF = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# A list tag, or a whole link: up to its closing tag, the next link or the end.
+LIST_TOKEN = r"(?is)</?(?:li|ul|ol)(?:\s[^>]*)?>|<a\s[^>]*>(?:(?!<a\s|</?(?:li|ul|ol)[\s>]).)*"
+LINK_END = r"(?is)</a\s*>.*"
 
-def _referred(name: Column) -> Column:
-    """The character of a reference without & and ;, NULL when there is none."""
-    digits = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 6)).otherwise(F.hex(F.substring(name, 2, 7).try_cast("long")))
-    code = F.conv(digits, 16, 10).cast("long")
+# The standard's names, with ; and, for the oldest ones, without.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
+NUMBER = r"^&#(?:([0-9]+)|[xX]([0-9A-Fa-f]+));?"
+NAME = r"^&([A-Za-z][A-Za-z0-9]*);"
+BARE_NAME = "^&(" + "|".join(sorted(BARE, key=len, reverse=True)) + ")"
+
+
+def _table(names: dict[str, str]) -> Column:
+    """A constant map, written as one literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{n}\x02{t}" for n, t in names.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+# Numbers 128 to 159 mean the characters of Windows-1252 where that has one.
+WINDOWS = {
+    str(n): text for n in range(128, 160) if (text := bytes([n]).decode("cp1252", "ignore"))
+}
+
+
+def _numbered(p: Column) -> Column:
+    """The character of a numeric reference; NULL if there is none."""
+    digits = F.regexp_replace(F.regexp_extract(p, NUMBER, 1), "^0+(?=.)", "")
+    hexed = F.regexp_replace(F.regexp_extract(p, NUMBER, 2), "^0+(?=.)", "")
+    code = F.when(digits != "", F.when(F.length(digits) <= 7, digits.try_cast("long"))).when(
+        F.length(hexed) <= 6, F.conv(hexed, 16, 10).try_cast("long")
+    )
     real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    numeric = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-    known = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))], F.lit("apos"), F.lit("'"))
-    return F.when(name.startswith("#"), numeric).when(name != "", F.try_element_at(known, name))
+    plain = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(F.try_element_at(_table(WINDOWS), code.cast("string")), plain)
 
 
 def decode(text: Column) -> Column:
-    """Character references replaced, each once: all numbers, and the names of HTML 4."""
+    """Character references replaced, each once.
+
+    Numbers may lack the semicolon, and so may the names that HTML allows it for;
+    of those the longest is taken. Unknown references stay as they are.
+    """
 
     def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, REFERENCE, 1)
-        return F.coalesce(F.concat(_referred(name), F.substr(p, F.length(name) + 3)), p)
+        name, bare = F.regexp_extract(p, NAME, 1), F.regexp_extract(p, BARE_NAME, 1)
+        number = F.regexp_extract(p, NUMBER, 0)
+        return F.coalesce(
+            F.when(number != "", F.concat(_numbered(p), F.substr(p, F.length(number) + 1))),
+            F.when(name != "", F.concat(F.try_element_at(_table(NAMED), name), F.substr(p, F.length(name) + 3))),
+            F.when(bare != "", F.concat(F.try_element_at(_table(BARE), bare), F.substr(p, F.length(bare) + 2))),
+            p,
+        )
 
     return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
 
@@ -75,17 +105,34 @@ def article_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """(text, url) of every link with an address inside a list item, in page order."""
-    anchors = F.flatten(
-        F.transform(
-            _opened(html, ITEM_OPEN),
-            lambda item: F.regexp_extract_all(F.regexp_replace(item, ITEM_CLOSE, ""), F.lit(LINK), F.lit(0)),
+    """(text, url) of every link with an address inside a list item, in page order.
+
+    One fold over the list tags and links of a page carries the open lists and
+    items as a text of L and I. An item ends at its closing tag or with its list;
+    </li> does not close an item outside of the innermost list. A link counts if
+    any item around it is open, at any depth.
+    """
+    tokens = F.regexp_extract_all(without_hidden(html), F.lit(LIST_TOKEN), F.lit(0))
+    nothing = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        is_link, closing = token.rlike(r"(?i)^<a\s"), token.startswith("</")
+        is_item, open_now = token.rlike(r"(?i)^</?li"), state["open"]
+        after = (
+            F.when(is_link, open_now)
+            .when(closing & is_item, F.regexp_replace(open_now, "I$", ""))
+            .when(closing, F.regexp_replace(open_now, "LI*$", ""))
+            .otherwise(F.concat(open_now, F.when(is_item, "I").otherwise("L")))
         )
-    )
+        here = is_link & open_now.contains("I") & token.rlike(HREF)
+        found = F.when(here, F.concat(state["found"], F.array(token))).otherwise(state["found"])
+        return F.struct(after.alias("open"), found.alias("found"))
+
+    anchors = F.aggregate(tokens, nothing, step)["found"]
     return F.transform(
         anchors,
         lambda a: F.struct(
-            visible(a).alias("text"),
+            visible(F.regexp_replace(a, LINK_END, "")).alias("text"),
             F.concat(*[F.regexp_extract(a, HREF, i) for i in (1, 2, 3)]).alias("url"),
         ),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.functions.text import contains_any, words
-from newsignal.operators.candidates import listed_words, positions
+from newsignal.session import materialise
 
 # Words that mark finance news without naming a company.
 GENERIC_TERMS = {
@@ -42,56 +42,67 @@ def finance_flag(df: DataFrame, terms: Sequence[str], text: str = "text") -> Dat
     return df.withColumn("finance_flag", contains_any(F.col(text), terms, True).cast("int"))
 
 
-def entity_mentions(
-    df: DataFrame, terms: DataFrame, key: str, text: str = "text", longest: int | None = None
-) -> DataFrame:
-    """(key, entity, mentions): whole-word mentions of dictionary terms.
+def anchored_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per term, filed under the word of it that is rarest in the texts.
 
-    Words of text and terms are cut alike. Tickers match with their case, other
-    kinds ignore it. Candidate tokens carry the words that follow them and meet
-    the dictionary on the first word; counts are combined before the shuffle. The
-    longest term is read from the dictionary; terms of more than a given
-    `longest` are refused rather than missed.
+    anchor, offset (the words before it), n, words, exact, entity. Of equally rare
+    words the first is taken; a term with a word that no text has is left out.
+    Words are compared in small letters here, so that both kinds can share an anchor.
     """
-    if longest is None:
-        longest = max(terms.agg(F.max(F.size(words(F.col("term"))))).first()[0] or 1, 1)
-    dictionary = terms.withColumn("_w", words(F.col("term"))).select(
-        F.lower(F.get("_w", F.lit(0))).alias("_first"),
-        F.when(F.col("kind") == "ticker", F.array_join("_w", " "))
-        .otherwise(F.lower(F.array_join("_w", " ")))
-        .alias("_phrase"),
-        (F.col("kind") == "ticker").alias("_exact"),
-        F.when(F.size("_w") <= longest, F.size("_w"))
-        .otherwise(F.raise_error(F.lit(f"term has more than {longest} words")))
-        .alias("_length"),
+    cut = terms.select(
+        words(F.col("term")).alias("words"), (F.col("kind") == "ticker").alias("exact"), "entity"
+    ).where(F.size("words") > 0)
+    cut = cut.distinct()
+    each = cut.select("words", "exact", "entity", F.posexplode("words").alias("offset", "word"))
+    each = each.withColumn("anchor", F.lower("word"))
+    known = each.select("anchor").distinct()
+    counts = (
+        tokens.select(F.explode("_l").alias("anchor")).join(known, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n"))
+    )
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "anchor"))
+    filed = each.join(counts, "anchor", "left").groupBy("words", "exact", "entity").agg(rarest.alias("a"))
+    return filed.where("a.n > 0").select(
+        "a.anchor",
+        "a.offset",
+        F.size("words").alias("n"),
+        F.when(F.col("exact"), F.col("words")).otherwise(F.transform("words", F.lower)).alias("words"),
+        "exact",
         "entity",
     )
-    tokens = df.select(key, words(F.col(text)).alias("_t")).select(
-        key, "_t", F.transform("_t", F.lower).alias("_l")
+
+
+def entity_mentions(df: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, entity, mentions): whole-word mentions of dictionary terms.
+
+    Words of text and terms are cut alike. Tickers match with their case, other
+    kinds ignore it. Terms are filed under their rarest word, so a word that many
+    terms begin with is not what texts and terms meet on. A token carries the
+    words around it, as many as the longest terms need; where it meets a term,
+    the term is compared in place. Counts are combined before the shuffle. NULL
+    texts and terms without a word have no mentions; terms that name an entity
+    twice count once.
+    """
+    tokens = df.select(F.col(key).alias("_key"), words(F.col(text)).alias("_t")).select(
+        "_key", "_t", F.transform("_t", F.lower).alias("_l")
     )
-    places = positions(F.col("_l"), listed_words(dictionary, "_first"))
-    following = F.transform(
-        places,
-        lambda i: F.struct(
-            F.get("_l", i).alias("first"),
-            *[F.get("_t", i + k).alias(f"w{k}") for k in range(longest)],
+    filed = materialise(anchored_terms(tokens, terms))
+    before, after = filed.agg(F.max("offset"), F.max(F.col("n") - F.col("offset"))).first()
+    before, after = before or 0, after or 1
+    place = lambda i: F.least(i, F.lit(before))
+    around = F.transform(
+        "_t",
+        lambda w, i: F.struct(
+            F.lower(w).alias("anchor"), F.slice("_t", i - place(i) + 1, place(i) + after).alias("near"), place(i).alias("at")
         ),
     )
-    rows = tokens.select(key, F.explode(following).alias("_z")).select(
-        key,
-        F.col("_z.first").alias("_first"),
-        *[F.col(f"_z.w{k}").alias(f"_w{k}") for k in range(longest)],
-    )
-    seen = [
-        F.when(F.col("_length") == n, F.concat_ws(" ", *[F.col(f"_w{k}") for k in range(n)]))
-        for n in range(1, longest + 1)
-    ]
-    phrase = F.coalesce(*seen)
-    match = F.when(F.col("_exact"), phrase).otherwise(F.lower(phrase)) == F.col("_phrase")
+    rows = tokens.select("_key", F.explode(around).alias("z")).select("_key", "z.*")
+    start = F.col("at") - F.col("offset") + 1
+    found = F.slice("near", F.greatest(start, F.lit(1)), F.col("n"))
+    same_words = F.when(F.col("exact"), found).otherwise(F.transform(found, F.lower)) == F.col("words")
     return (
-        rows.join(dictionary, "_first")
-        .where(match)
-        .groupBy(key, "entity")
+        rows.join(filed, "anchor")
+        .where((start >= 1) & same_words)
+        .groupBy(F.col("_key").alias(key), "entity")
         .agg(F.count("*").alias("mentions"))
     )
 

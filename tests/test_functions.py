@@ -106,3 +106,28 @@ def test_paragraphs_keep_inner_blocks_and_plain_signs(column_of):
 def test_links_anywhere_in_an_item(column_of):
     page = "<ol><li>see <a href=/u>U</a> or <b><a class=x href='q'>Q</a></b><li><a name=n>N</a><a href=\"r\">R</a></li></ol><a href=o>O</a>"
     assert [tuple(r) for r in column_of([page], html.links)[0]] == [("U", "/u"), ("Q", "q"), ("R", "r")]
+
+
+def test_links_at_any_depth_and_after_nested_lists(column_of):
+    page = (
+        "<a href=out>0</a><ul><li>a <a href=1>one</a><ul><li><a href=2>two</a></li></ul> tail <a href=3>three</a></li>"
+        "<li><p><b><a href=4>fo<i>ur</i></a></b></p><a href=5>unclosed</ul><a href=no>after</a>"
+        "<ol><li><UL></ul><a href='6'>six</a><a name=x>no address</a></ol></li><a href=no2>end</a>"
+    )
+    found = column_of([page, "<li><a href=x>stray", "</li></ul>", None], html.links)
+    assert [tuple(r) for r in found[0]] == [
+        ("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("unclosed", "5"), ("six", "6")
+    ]
+    assert [tuple(r) for r in found[1]] == [("stray", "x")] and found[2:] == [[], None]
+
+
+def test_references_of_the_standard(column_of):
+    import html as standard
+
+    values = [
+        "a&nbspb &notit; &not; &notin; &NotEqualTilde;", "&#150;&#x80;&#129;", "&copy2024 &ampamp; &amp", "&AMP;&lt&gt", "&hellip;&hearts;",
+        "&#0065;&#x00041 x&#65x", "&bogus; &;&#;&#x; & &&amp;",
+    ]
+    want = [standard.unescape(v) for v in values]
+    want[1] = "–€\x81"
+    assert column_of(values, html.decode) == want

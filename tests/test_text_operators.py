@@ -74,9 +74,7 @@ def test_daily_mean_and_attach(spark):
     assert {r.id: round(r.mean_polarity, 9) for r in lexicon.attach_daily_mean(df).collect()} == {1: 0.3, 2: 0.3, 3: -1.0}
 
 
-@pytest.mark.parametrize("listed", [1, 20_000])
-def test_mentions(spark, monkeypatch, listed):
-    monkeypatch.setattr(candidates, "LISTED_WORDS", listed)
+def test_mentions(spark):
     terms = mentions.term_table(
         spark,
         [("A", "Agil", "ticker"), ("T", "ATT", "ticker"), ("AT&T", "ATT", "company"), ("J.B. Hunt", "Hunt", "company")],
@@ -99,11 +97,31 @@ def test_long_terms_are_found(spark):
     assert [tuple(r) for r in mentions.entity_mentions(df, terms, "id").collect()] == [(1, "x", 1)]
 
 
-def test_too_long_terms_are_refused(spark):
-    df = spark.createDataFrame([(1, "one two")], "id int, text string")
-    terms = mentions.term_table(spark, [("one two three", "x", "company")])
-    with pytest.raises(Exception, match="more than 2 words"):
-        mentions.entity_mentions(df, terms, "id", longest=2).collect()
+def test_terms_meet_texts_on_their_rarest_word(spark):
+    texts = [(i, f"the the The name{i} of the the") for i in range(300)] + [(999, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    terms = spark.range(100_000).select(
+        F.concat(F.lit("The name"), F.col("id")).alias("term"), F.col("id").cast("string").alias("entity"), F.lit("company").alias("kind")
+    )
+    odd = mentions.term_table(
+        spark, [("the The name5 of", "exact", "ticker"), ("the the name5 of", "no", "ticker"), ("...", "none", "company"), ("the absent", "z", "company")]
+    )
+    found = mentions.entity_mentions(df, terms.unionByName(odd), "id")
+    assert sorted((r.id, r.entity, r.mentions) for r in found.collect()) == sorted(
+        [(i, str(i), 1) for i in range(300)] + [(5, "exact", 1)]
+    )
+    tokens = df.select(F.split("text", " ").alias("_l")).select(F.transform("_l", F.lower).alias("_l"))
+    filed = mentions.anchored_terms(tokens, terms)
+    assert filed.where("anchor = 'the'").count() == 0 and filed.count() == 300
+
+
+def test_mentions_at_the_ends_and_of_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "b c"), (3, "c"), (4, "")], "id int, text string")
+    terms = mentions.term_table(spark, [("a b c", "x", "company"), ("b c", "y", "company"), ("C", "z", "ticker")])
+    found = mentions.entity_mentions(df, terms, "id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "x", 1), (1, "y", 1), (2, "y", 1)]
+    assert mentions.entity_mentions(df, terms.limit(0), "id").count() == 0
+    assert mentions.entity_mentions(df.limit(0), terms, "id").count() == 0
 
 
 def test_token_ids(spark):
