@@ -109,6 +109,11 @@ def date_flags(links: DataFrame, start: str, stop: str, late: str, name: str = "
     )
 
 
+def since_days(df: DataFrame, days: int, date: str = "date") -> DataFrame:
+    """Rows of today and of the `days` days before it, by the session's calendar."""
+    return df.where(F.col(date) >= F.date_sub(F.current_date(), days))
+
+
 def keep_any_of(df: DataFrame, column: str, terms: Sequence[str] = US_PLACES) -> DataFrame:
     """Rows whose column contains any of the terms, case kept."""
     return df.where(contains_any(F.col(column), terms))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,9 @@ from newsignal.operators import (
 from newsignal.plans import articles as article_plan
 from newsignal.plans import tables
 from newsignal.plans.stocks import stock_features
-from newsignal.session import materialise
+from newsignal.schemas import INDEX_COLUMNS
+from newsignal.session import materialise, shared_folder
+from newsignal.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -253,6 +257,89 @@ def domains_distinct(spark, sf_dir):
     return pages.select(tx.domain(F.col("url")).alias("domain")).distinct()
 
 
+# Files
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def bar_files(spark, sf_dir):
+    """Bars written as CSV files of two shapes into one folder, and read back as one table."""
+    bars = tables.text_bars(spark, sf_dir)
+    path, odd = folder(spark, "bars"), F.pmod(F.regexp_extract("ticker", "([0-9]+)$", 1).cast("int"), F.lit(2)) == 1
+    sinks.write_csv(bars.where(~odd), path, by=None)
+    turned = bars.where(odd).select("ticker", F.lit("0").alias("Adj Close"), "Volume", "Close", "Low", "High", "Date")
+    sinks.write_csv(turned, path, by=None, mode="append")
+    return files.read_bars(spark, path)
+
+
+def article_files(spark, sf_dir):
+    """Articles with line breaks and quotes through CSV files."""
+    raw = tables.raw_articles(spark, sf_dir)
+    noisy = F.concat(F.lit('He said "'), F.regexp_replace("text", " ", "\n"), F.lit('", \\ or ""so""'))
+    path = folder(spark, "articles")
+    sinks.write_csv(raw.select("date", noisy.alias("text")), path, by=None)
+    return files.read_articles(spark, path).select("date", F.md5("text").alias("text_md5"))
+
+
+def parquet_by_day(spark, sf_dir):
+    """Articles written by day, one day written anew, and read with the file's suffix cut off."""
+    path = folder(spark, "by-day")
+    docs = tables.articles(spark, sf_dir).select("doc_id", "date", "source")
+    sinks.write_parquet(docs, path)
+    again = docs.where(F.col("date") == F.lit(tables.FIRST_DAY)).withColumn("source", F.lit("again"))
+    sinks.write_parquet(again, path, days_only=True)
+    back = files.read_parquet(spark, path, drop_names_like="gkgcounts")
+    return back.select("doc_id", "date", "source", F.col("file_stem").endswith(".parquet").alias("has_suffix"))
+
+
+def fetch_stub(url: str) -> tuple[int, str]:
+    """Stands in for the web: the outcome depends on a digest of the address."""
+    digit = hashlib.md5(url.encode()).hexdigest()[0]
+    if digit == "0":
+        raise TimeoutError("too slow")
+    return (404, "") if digit in "123" else (200, f"<p> {url} </p><p>end</p>")
+
+
+def fetch_outcomes(spark, sf_dir):
+    pages = files.fetch_outcome(files.fetch_pages(tables.pages(spark, sf_dir).select("url"), fetch_stub))
+    text = F.when(F.col("status") == 200, html.article_text(F.col("html")))
+    return pages.groupBy("outcome").agg(F.count("*").alias("pages"), F.max(text).alias("last_text"))
+
+
+def index_rows(spark, sf_dir):
+    """Index lines with header lines, several addresses in a field, and none."""
+    pages = tables.given(spark, sf_dir, "pages")
+    both = F.concat("url", F.lit("<UDIV>http://second.org/"), "page_id")
+    urls = F.when(F.col("page_id") % 3 == 0, both).when(F.col("page_id") % 5 > 0, F.col("url"))
+    day = F.when(F.col("page_id") % 7 == 0, "DATE").when(F.col("page_id") % 11 > 0, F.concat(F.lit("201602"), (F.col("page_id") % 20 + 10).cast("string")))
+    cells = {0: day, 4: F.concat(F.lit("Texas;"), F.col("page_id")), 10: urls}
+    raw = pages.select(*[cells.get(i, F.lit("x")).alias(f"c{i}") for i in range(11)])
+    return files.combine_index(files.without_header(files.select_positions(raw, INDEX_COLUMNS)))
+
+
+def archive_names(spark, sf_dir):
+    links = tables.file_links(spark, sf_dir)
+    return links.select("o_orderkey", tx.swap_suffix(F.col("text")).alias("stored_as"))
+
+
+def table_page(spark, sf_dir):
+    """Rows 200 to 299 of the bars by ticker and date, without two columns."""
+    return cleaning.page(tables.brand_bars(spark, sf_dir).drop("high", "low", "absent"), 200, 100, "ticker", "date")
+
+
+def one_order(spark, sf_dir):
+    orders = tables.given(spark, sf_dir, "orders")
+    return orders.where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def recent_events(spark, sf_dir):
+    """Events of the ten years before today."""
+    events = tables.given(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+    return cleaning.since_days(events, 3650).groupBy("event_type").agg(F.count("*").alias("events"), F.min("date").alias("first_day"))
+
+
 # Bars
 
 
@@ -417,6 +504,15 @@ def registered() -> dict[str, Query]:
         "html_text": html_text,
         "url_parts": url_parts,
         "domains_distinct": domains_distinct,
+        "bar_files": bar_files,
+        "article_files": article_files,
+        "parquet_by_day": parquet_by_day,
+        "fetch_outcomes": fetch_outcomes,
+        "index_rows": index_rows,
+        "archive_names": archive_names,
+        "table_page": table_page,
+        "one_order": one_order,
+        "recent_events": recent_events,
         "bars_clean": bars_clean,
         "daily_return": on_bars(indicators.daily_return, ["daily_return"], 6),
         "sma": on_bars(indicators.sma, [f"sma_{n}" for n in indicators.SMA_WINDOWS]),

@@ -431,6 +431,31 @@ select page_id, cast(pos as integer) as pos, {visible('a')} as text, regexp_extr
   regexp_replace(regexp_replace(regexp_replace(url, 'https?://', '', 'g'), '\.[^.]+$', ''), '[./]', '_', 'g') as slug
 from pages""",
         "domains_distinct": r"select distinct nullif(regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1), '') as domain from pages",
+        "bar_files": f"""with {BARS} select strftime(date, '%Y-%m-%d') || ' 00:00:00+00:00' as date, cast(null as varchar) as open,
+  cast(cast(floor(high) as bigint) as varchar) as high, cast(cast(floor(low) as bigint) as varchar) as low,
+  case when volume >= 120 then 'halted' else cast(cast(close as bigint) as varchar) end as close,
+  cast(volume as varchar) as volume, ticker from bars""",
+        "article_files": f"""with {RAW} select date,
+  md5('He said "' || replace(text, ' ', chr(10)) || '", \\ or ""so""') as text_md5 from raw""",
+        "parquet_by_day": f"""with {ARTICLES} select doc_id, date,
+  case when date = date '{tables.FIRST_DAY}' then 'again' else source end as source, false as has_suffix from articles""",
+        "fetch_outcomes": """with seen as (
+  select url, case when left(md5(url), 1) = '0' then 'Error: too slow' when left(md5(url), 1) in ('1', '2', '3') then 'Failed: 404'
+    else 'Success' end as outcome from pages)
+select outcome, count(*) as pages, max(case when outcome = 'Success' then url || ' end' end) as last_text from seen group by outcome""",
+        "index_rows": r"""with raw as (
+  select page_id, case when page_id % 7 = 0 then 'DATE' when page_id % 11 > 0 then '201602' || (page_id % 20 + 10) end as day,
+    case when page_id % 3 = 0 then url || '<UDIV>http://second.org/' || page_id when page_id % 5 > 0 then url end as urls from pages),
+split_up as (
+  select *, unnest(case when urls is null then [null] else string_split(urls, '<UDIV>') end) as url
+  from raw where day is null or day <> 'DATE')
+select cast(try_strptime(day, '%Y%m%d') as date) as date, url, 'Texas;' || page_id as locations,
+  nullif(regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1), '') as domain, sha256(url) as url_key from split_up""",
+        "archive_names": """select o_orderkey, strftime(o_orderdate, '%Y%m%d') || '.daily.csv.parquet' as stored_as from orders""",
+        "table_page": f"with {BARS} select ticker, date, close, volume from bars order by ticker, date limit 100 offset 200",
+        "one_order": "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 7",
+        "recent_events": """select event_type, count(*) as events, min(cast(ts as date)) as first_day from events
+where cast(ts as date) >= current_date - 3650 group by event_type""",
         "bars_clean": f"""with {BARS} select ticker, date, cast(null as double) as open, floor(high) as high, floor(low) as low,
   close, volume from bars where volume < 120 and ticker not in ('Brand#1', 'Brand#24')""",
         "daily_return": bars_select(f"round({DAILY_RETURN}, 6) as daily_return"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import csv
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from newsignal.functions.text import compact_day, domain, split_urls, url_key
 from newsignal.schemas import ARTICLE, FETCHED_PAGE, INDEX_COLUMNS, RAW_BAR
-
-LINES_PER_BATCH = 10_000
+from newsignal.sources.archives import IndexArchives
 
 
 def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
@@ -29,14 +28,49 @@ def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def files_by_header(spark: SparkSession, *paths: str, pattern: str = "*.csv") -> dict[str, list[str]]:
+    """The files of each header line. Files are listed here, as Spark itself lists them; rows are not."""
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
+        .text(list(paths))
+        .select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("place"))
+        .where(F.col("_metadata.file_block_start") == 0)
+    )
+    first = lines.groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+    return {r["header"]: r["files"] for r in groups.collect()}
+
+
+def read_csvs(spark: SparkSession, *paths: str, pattern: str = "*.csv") -> DataFrame:
+    """CSV files with headers as one table of text columns, whatever columns each file has, in any order.
+
+    Files are read in one scan per header line and united by name in small
+    letters; a column that a file lacks is NULL. Names that differ in case only
+    are an error within a file. Files without a row and without a header have no
+    rows; without any file with a header there is no table to return, an error.
+    """
+    named = []
+    for header, files in sorted(files_by_header(spark, *paths, pattern=pattern).items()):
+        small = [c.strip().lower() or f"_c{i}" for i, c in enumerate(next(csv.reader([header])))]
+        if len(set(small)) < len(small):
+            raise ValueError(f"repeated column names: {header}")
+        named.append(spark.read.option("header", True).option("escape", '"').csv(files).toDF(*small))
+    if not named:
+        raise ValueError(f"no file with a header in {paths}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
     """Price CSVs as text columns, for `operators.cleaning.clean_bars`.
 
-    Columns are found by the names in the header, whatever their case and order;
-    the files of one call share a header.
+    Columns are found by the names in each file's own header, whatever their case
+    and order; see `read_csvs`. A column that no file has is NULL.
     """
-    named = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(list(paths))
-    return named.select(*[F.col(f.name).alias(f.name) for f in RAW_BAR])
+    named = read_csvs(spark, *paths)
+    missing = F.lit(None).cast("string")
+    return named.select(
+        *[(F.col(f.name) if f.name in named.columns else missing).alias(f.name) for f in RAW_BAR]
+    )
 
 
 def read_parquet(spark: SparkSession, *paths: str, drop_names_like: str | None = None) -> DataFrame:
@@ -65,46 +99,38 @@ def select_positions(df: DataFrame, names: dict[int, str]) -> DataFrame:
     return df.select(*[F.col(df.columns[i]).alias(n) for i, n in names.items()])
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for name, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                with archive.open(archive.namelist()[0]) as member:
-                    block: list[str] = []
-                    for line in io.TextIOWrapper(member, "utf-8", errors="replace", newline="\n"):
-                        block.append(line.rstrip("\r\n"))
-                        if len(block) == LINES_PER_BATCH:
-                            yield pd.DataFrame({"path": name, "line": block})
-                            block = []
-                    if block:
-                        yield pd.DataFrame({"path": name, "line": block})
+def read_zipped_index(
+    spark: SparkSession, path: str, keep: dict[int, str] = INDEX_COLUMNS, start: str | None = None, stop: str | None = None
+) -> DataFrame:
+    """Daily index archives: every member is a tab-separated file without header.
 
+    Each member is a partition of its own and is inflated as a stream, so neither
+    the archive nor a member has to fit into memory. Quotation marks are plain
+    characters. `start` and `stop` (YYYYMMDD, half-open) skip archives by the day
+    in their names. A leading line of column names is removed by value; rows
+    without a date stay.
+    """
+    spark.dataSource.register(IndexArchives)
+    reader = spark.read.format("index_archives").option("columns", ",".join(f"{i}:{n}" for i, n in keep.items()))
+    for name, day in (("start", start), ("stop", stop)):
+        if day is not None:
+            reader = reader.option(name, day)
+    return without_header(reader.load(path))
 
-def read_zipped_index(spark: SparkSession, path: str, keep: dict[int, str] = INDEX_COLUMNS) -> DataFrame:
-    """Daily index archives: the first member is a tab-separated file without header.
 
-    Archives are read one per task and streamed in batches of lines; the lines
-    are parsed by Spark. Quotation marks are plain characters. A leading line of
-    column names is removed by value; rows without a date stay.
-    """
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(max(keep) + 1)]
-    lines = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(_lines, "path string, line string")
-    )
-    ddl = ", ".join(f"{f.name} string" for f in fields)
-    parsed = lines.select(F.from_csv("line", ddl, {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
-    return select_positions(parsed, keep).where("date is null or upper(date) <> 'DATE'")
+def without_header(index: DataFrame) -> DataFrame:
+    """Removes lines of column names by value; a line's place says nothing in a table."""
+    return index.where("date is null or upper(date) <> 'DATE'")
 
 
 def combine_index(index: DataFrame) -> DataFrame:
-    """(date, url, locations, domain, url_key): one row per URL of each index row."""
+    """(date, url, locations, domain, url_key): one row per URL of each index row.
+
+    Rows without a URL stay, with NULL url, domain and key.
+    """
     return index.select(
         compact_day(F.col("date")).alias("date"),
-        F.explode(split_urls(F.col("source_urls"))).alias("url"),
+        F.explode_outer(split_urls(F.col("source_urls"))).alias("url"),
         "locations",
     ).withColumns({"domain": domain(F.col("url")), "url_key": url_key(F.col("url"))})
 

@@ -75,3 +75,8 @@ def test_small_operators(spark):
     assert union.count() == 9 and union.columns == ["id", "place", "x"]
     assert union.drop("absent").columns == union.columns
     assert len(set(cleaning.US_PLACES)) == 53
+
+
+def test_days_before_today(spark):
+    df = spark.sql("select date_sub(current_date(), d) as date, d from values (0), (10), (11), (-3), (null) t(d)")
+    assert sorted(r.d for r in cleaning.since_days(df, 10).collect()) == [-3, 0, 10]

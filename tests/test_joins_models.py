@@ -76,6 +76,28 @@ def test_describe(spark):
     assert rows["b"]["count"] == 502
 
 
+def test_codes_keep_the_order_of_doubles():
+    values = np.array([float("-inf"), -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, float("inf")])
+    codes = metrics.ordered_codes(values)
+    assert list(np.argsort(codes, kind="stable")) == list(range(len(values)))
+    assert [metrics.decoded(int(c)) for c in codes] == values.tolist()
+    assert metrics.ordered_codes(np.array([-0.0]))[0] == metrics.ordered_codes(np.array([0.0]))[0]
+    assert metrics.ordered_codes(np.array([float("nan")]))[0] > codes[-1]
+
+
+def test_quantiles_are_exact_whatever_the_spread(spark):
+    rng = random.Random(12)
+    rows = [(rng.gauss(0, 1) * 10 ** rng.randrange(-200, 200), rng.choice([7.0, 7.0, -1e-9]), None if i % 3 else 1.0 / (i + 1)) for i in range(901)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(6)
+    shares = (0.0, 0.1, 0.333, 0.5, 0.999, 1.0)
+    got = {r["column"]: r for r in metrics.describe(df, ["a", "b", "c"], shares).collect()}
+    for i, name in enumerate("abc"):
+        known = np.array([r[i] for r in rows if r[i] is not None])
+        want = np.quantile(known, shares)
+        assert [got[name][f"p{round(s * 100)}"] for s in shares] == pytest.approx(want.tolist(), rel=1e-12)
+        assert got[name]["count"] == len(known)
+
+
 def test_metrics_of_missing_and_infinite_values(spark):
     df = spark.createDataFrame([(1, None, float("inf")), (0, None, 1.0), (0, None, float("-inf"))], "label int, a double, b double")
     rows = {r["column"]: r for r in metrics.describe(df, ["a", "b"]).collect()}

@@ -45,6 +45,87 @@ def test_bar_columns_are_found_by_name(spark, tmp_path):
     assert tuple(row) == ("2024-01-02", "1", "2", "0.5", "1.5", "10", "AA")
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["Date", "Close", "High", "Low", "Open", "Ticker"], ["2024-01-02", 1, 2, 3, 4, "A"])
+    write_csv(tmp_path / "b.csv", ["Date", "Open", "High", "Low", "Close", "Ticker"], ["2024-01-02", 5, 6, 7, 8, "B"])
+    write_csv(tmp_path / "c.csv", ["ticker", "VOLUME", "Adj Close", "date"], ["C", 9, 10, "2024-01-03"], ["D", 11, 12, "2024-01-04"])
+    write_csv(tmp_path / "d.csv", ["Date", "Open", "High", "Low", "Close", "Ticker"])
+    (tmp_path / "empty.csv").write_text("")
+    rows = sorted(tuple(r) for r in files.read_bars(spark, str(tmp_path)).select("ticker", "open", "close", "volume", "date").collect())
+    assert rows == [
+        ("A", "4", "1", None, "2024-01-02"), ("B", "5", "8", None, "2024-01-02"),
+        ("C", None, None, "9", "2024-01-03"), ("D", None, None, "11", "2024-01-04"),
+    ]
+    assert len(files.files_by_header(spark, str(tmp_path))) == 3
+    whole = files.read_csvs(spark, str(tmp_path))
+    assert set(whole.columns) == {"date", "open", "high", "low", "close", "ticker", "volume", "adj close"}
+    write_csv(tmp_path / "e.csv", ["Date", "date"], [1, 2])
+    with pytest.raises(ValueError, match="repeated"):
+        files.read_bars(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no file"):
+        files.read_csvs(spark, str(tmp_path / "empty.csv"))
+
+
+def test_archive_members_are_partitions_and_read_as_streams(spark, tmp_path, monkeypatch):
+    from newsignal.sources import archives
+
+    line = "\t".join(["{day}", "x", "x", "x", "Texas;{n}", *"pondu", "http://a.com/{n}"])
+    for day in ("20160226", "20160227", "20160228"):
+        with zipfile.ZipFile(tmp_path / f"{day}.gkg.csv.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("folder/", "")
+            for part in range(2):
+                with z.open(f"folder/{part}.csv", "w") as member:
+                    for n in range(2500):
+                        member.write((line.format(day=day, n=part * 2500 + n) + "\r\n").encode())
+    (tmp_path / "other.txt").write_text("x")
+    index = files.read_zipped_index(spark, str(tmp_path))
+    assert index.count() == 15_000 and index.rdd.getNumPartitions() == 6
+    assert index.select("locations").distinct().count() == 5000
+    two = files.read_zipped_index(spark, str(tmp_path), start="20160227", stop="20160228")
+    assert {r.date for r in two.select("date").distinct().collect()} == {"20160227"} and two.rdd.getNumPartitions() == 2
+    one = files.read_zipped_index(spark, str(tmp_path / "20160226.gkg.csv.zip"), {10: "u", 20: "none"} | {0: "date"})
+    assert one.columns == ["u", "none", "date"] and one.where("none is null and u is not null").count() == 5000
+    monkeypatch.setattr(archives, "ROWS_PER_BATCH", 100)
+    reader = archives.MemberReader({"path": str(tmp_path)}, {0: "date", 10: "url"})
+    batches = reader.read(reader.partitions()[0])
+    first = next(batches)
+    assert first.num_rows == 100 and first.column(1)[99].as_py() == "http://a.com/99"
+    assert sum(b.num_rows for b in batches) == 2400
+
+
+def test_index_rows_without_address_stay(spark):
+    rows = [("20160226", "Texas", None), ("20160226", "Iowa", "http://a.com<UDIV>http://b.com")]
+    out = files.combine_index(spark.createDataFrame(rows, "date string, locations string, source_urls string"))
+    assert sorted((r.locations, r.url or "", r.domain or "") for r in out.collect()) == [
+        ("Iowa", "http://a.com", "a.com"), ("Iowa", "http://b.com", "b.com"), ("Texas", "", "")
+    ]
+
+
+def test_a_day_can_be_written_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "id int, date date")
+    sinks.write_parquet(df, str(tmp_path / "days"))
+    sinks.write_parquet(df.where("id = 2").withColumn("id", F.lit(9)), str(tmp_path / "days"), days_only=True)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [1, 9]
+    sinks.write_parquet(df.where("id = 2"), str(tmp_path / "days"))
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "days")).collect()] == [2]
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    spark.sql(f"create database if not exists bucketed location '{tmp_path}/db'")
+    df = spark.range(1000).select((F.col("id") % 17).cast("string").alias("ticker"), F.col("id").alias("day"))
+    try:
+        sinks.write_bucketed(df, "bucketed.one", "ticker", "day", 4)
+        sinks.write_bucketed(df.withColumn("x", F.col("day") * 2), "bucketed.two", "ticker", "day", 4)
+        one, two = spark.table("bucketed.one"), spark.table("bucketed.two")
+        rows = one.groupBy("ticker").agg(F.count("*").alias("n"))
+        joined = rows.hint("merge").join(two.groupBy("ticker").agg(F.sum("x").alias("x")), "ticker")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "SortMergeJoin" in text
+        assert joined.agg(F.sum("x")).first()[0] == 999 * 1000
+    finally:
+        spark.sql("drop database bucketed cascade")
+
+
 def test_zipped_index_keeps_quotes_and_rows_without_date(spark, tmp_path):
     lines = ["\t".join(["20160226", "1", "c", "t", '"Texas', *"pondu", "http://a.com/1"]), "\t".join(["", *["x"] * 9, "http://b.com/2"])]
     with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
