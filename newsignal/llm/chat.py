@@ -54,19 +54,23 @@ class Flattener:
     count_tokens: object
     sizes: Sizes
     pieces: list[str] = field(default_factory=list)
+    held: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
 
     def visit(self, part: dict | None) -> None:
         if part is None:
             return
-        visitor = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-        if visitor is None:
-            raise ValueError(f"no part type is called {part.get('type')}")
+        visitor = getattr(self, f"visit_{part.get('type')}", self.visit_text)
         visitor(part)
 
     def visit_text(self, part: dict) -> None:
-        text = part.get("text") or ""
+        self.held.append(part.get("text") or "")
+
+    def end_text(self) -> None:
+        """Neighbouring texts are escaped as one, since control strings can lie across their borders."""
+        text = "".join(self.held)
+        self.held.clear()
         self.pieces.append(escape(text))
         self.tokens += self.count_tokens(text)
 
@@ -85,6 +89,7 @@ class Flattener:
         self.attach(part, (1 if pages is None else pages) * self.sizes.document_per_page)
 
     def attach(self, part: dict, tokens: int) -> None:
+        self.end_text()
         number = len(self.attachments)
         self.pieces.append(f"<|{part['type']}:{number}|>")
         self.attachments.append({"number": number, "kind": part["type"], "ref": part.get("ref"), "tokens": max(tokens, 0)})
@@ -96,6 +101,7 @@ def format_turn(role: str | None, parts: list[dict] | None, count_tokens, sizes:
     flat = Flattener(count_tokens, sizes)
     for part in parts or []:
         flat.visit(part)
+    flat.end_text()
     body = "".join(flat.pieces)
     head = f"{TURN}{escape(role or '').replace(chr(10), NEWLINE)}\n"
     start = len(head)
@@ -176,8 +182,9 @@ def format_turns(
     tokenizer file `vocabulary` (words without one) and expanded attachments.
 
     NULL parts, NULL lists and NULL texts are empty, a NULL role is the empty
-    role, a NULL part type is text; another type fails. Repeated rows are turns
-    of their own. Other columns are not read.
+    role, a NULL or unknown part type is text. Repeated rows are turns of their own,
+    an empty table stays empty, and a very long text is one turn. Other columns
+    are not read.
     """
     sizes = sizes or Sizes()
     content = None

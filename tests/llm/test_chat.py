@@ -30,6 +30,25 @@ def test_turn_round_trip(role, texts):
     assert chat.read_parts(body, made["attachments"]) == wanted
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["text", "image", "odd"]), CONTROLS), max_size=6))
+def test_neighbouring_texts_forge_nothing(drawn):
+    parts = [{"type": k, "ref": t} if k == "image" else {"type": k, "text": t} for k, t in drawn]
+    made = chat.format_turn("user", parts, len, chat.Sizes(), ())
+    body = chat.read_turn(made["formatted"])[1]
+    read = chat.read_parts(body, made["attachments"])
+    assert [p["ref"] for p in read if p["type"] == "image"] == [t for k, t in drawn if k == "image"]
+    joined, wanted = [], []
+    for k, t in drawn:
+        if k == "image":
+            wanted += ["".join(joined), None]
+            joined = []
+        else:
+            joined.append(t)
+    wanted.append("".join(joined))
+    assert [p.get("text") for p in read] == [w for w in wanted if w != ""]
+
+
 def part(kind, text=None, ref=None, width=None, height=None, seconds=None, pages=None):
     return (kind, text, ref, width, height, seconds, pages)
 
@@ -62,10 +81,10 @@ def test_tokenizer_file_counts(spark):
     assert found.tokens == len(tokenizer.encode("Hello world <|endoftext|>", add_special_tokens=False).ids)
 
 
-def test_unknown_part_fails(spark):
-    rows = [(1, 0, "user", [part("video")])]
-    with pytest.raises(Exception, match="no part type"):
-        chat.format_turns(spark.createDataFrame(rows, TURNS)).collect()
+def test_unknown_part_is_text(spark):
+    rows = [(1, 0, "user", [part("video", "a <"), part("text", "s> b"), part("video")])]
+    row = chat.format_turns(spark.createDataFrame(rows, TURNS)).first()
+    assert chat.read_turn(row.formatted)[1] == chat.escape("a <s> b") and row.tokens == 3
 
 
 def test_digests_over_batches_and_ties(spark):
