@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +26,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"\w{3,}")
 
 WINDOW_WORDS = 10
-WINDOW_CHARS = 400
 HELD_TERMS = 300_000
 
 
@@ -90,24 +90,32 @@ def entity(kind: str, found: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """entity, term, start, end for the terms next to each entity that lie in no span themselves."""
-    taken = sorted((s, e) for _, s, e in spans)
+    """entity, term, start, end for the terms next to each entity that lie in no span themselves.
+
+    The terms of the text and the merged spans are sorted once and looked up by
+    bisection, so a text with many entities takes time in proportion to them.
+    """
+    cover: list[list[int]] = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if cover and start < cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], end)
+        else:
+            cover.append([start, end])
+    terms = [m.span() for m in TERM.finditer(text)]
+    opens, ends = [s for s, _ in cover], [e for _, e in terms]
+    begins = [s for s, _ in terms]
+    free = []
+    for s, e in terms:
+        at = bisect_left(opens, e) - 1  # the last span that starts before the term ends
+        free.append(at < 0 or cover[at][1] <= s)
+    words = [text[s:e].lower() if f else "" for (s, e), f in zip(terms, free)]
     out = []
     for kind, start, end in spans:
         name = entity(kind, text[start:end])
-        low, high = max(0, start - WINDOW_CHARS), min(len(text), end + WINDOW_CHARS)
-        before = [m.span() for m in TERM.finditer(text, low, start)]
-        after = [m.span() for m in TERM.finditer(text, end, high)]
-        whole = [
-            (s, e)
-            for s, e in before[-WINDOW_WORDS:] + after[:WINDOW_WORDS]
-            if not (s == low and s and re.match(r"\w", text[s - 1])) and not (e == high and e < len(text) and re.match(r"\w", text[e]))
-        ]
-        out += [
-            {"entity": name, "term": text[s:e].lower(), "start": s, "end": e}
-            for s, e in whole
-            if not any(a < e and s < b for a, b in taken)
-        ]
+        before, after = bisect_right(ends, start), bisect_left(begins, end)
+        for i in (*range(max(0, before - WINDOW_WORDS), before), *range(after, min(len(terms), after + WINDOW_WORDS))):
+            if free[i]:
+                out.append({"entity": name, "term": words[i], "start": terms[i][0], "end": terms[i][1]})
     return out
 
 
@@ -158,7 +166,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(set(TERM.findall((text or "").lower())))
+                held.update({t.lower() for t in TERM.findall(text or "")})
                 if len(held) > HELD_TERMS:
                     yield flush()
         yield flush()
@@ -263,8 +271,11 @@ def replaced(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """`docs` with the column `sanitised`, the text without its personal spans; NULL texts stay NULL."""
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "sanitised", **settings) -> DataFrame:
+    """`docs` with the column `out`, the text without its personal spans; NULL texts stay NULL.
+
+    An own column `out` is replaced.
+    """
     found = personal_spans(docs, id_col, text_col, **settings).where(F.size("spans") > 0)
     key, cut = unused(docs, "digest"), unused(docs, "spans")
     found = found.select(F.col("digest").alias(key), F.col("spans").alias(cut)).dropDuplicates([key])
@@ -274,4 +285,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return texts.combine(spans, lambda t, s: t if t is None or s is None else replaced(t, list(s)))
 
     joined = docs.withColumn(key, F.unhex(F.md5(F.col(text_col)))).join(found, key, "left")
-    return joined.withColumn("sanitised", replace(F.col(text_col), F.col(cut))).drop(key, cut)
+    return joined.withColumn(out, replace(F.col(text_col), F.col(cut))).drop(key, cut)

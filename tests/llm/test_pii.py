@@ -1,3 +1,4 @@
+import time
 import re
 from collections import defaultdict
 from math import log2
@@ -106,3 +107,20 @@ def test_query_keeps_the_base(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(
             sum(k == kind for k, _, _ in spans) for kind in ("email", "ip", "card", "phone")
         )
+
+
+def test_many_entities_in_one_text_take_time_in_proportion():
+    text = " ".join(f"name{i} user{i}@mail.example from town{i % 7}," for i in range(100_000))
+    start = time.perf_counter()
+    spans = pii.base_spans(text)
+    found = pii.contexts(text, spans)
+    assert len(spans) == 100_000 and time.perf_counter() - start < 30
+    middle = [c for c in found if c["entity"] == "email:user50000@mail.example"]
+    assert {c["term"] for c in middle} >= {"name50000", "from", "town6"} and len(middle) < 20
+    assert not any("user" in c["term"] or "mail" in c["term"] for c in middle)
+
+
+def test_far_words_are_in_the_context():
+    text = "w" * 900 + " met a@b.example and " + "x" * 900
+    terms = {c["term"] for c in pii.contexts(text, pii.base_spans(text))}
+    assert terms == {"w" * 900, "met", "and", "x" * 900}
