@@ -36,31 +36,25 @@ def lines_of(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
     )
 
 
-def line_templates(lines: DataFrame, similarity: float) -> DataFrame:
+def line_templates(lines: DataFrame, similarity: float, least_docs: int) -> DataFrame:
     """leaf, code (the hash of a masked line), template.
 
-    Inside a leaf the most frequent token of a position is constant if it has at
-    least half of the lines, else the position is a variable field. A line that
-    agrees with enough constant tokens belongs to that template; any other line
-    is a template of its own.
+    A leaf has as many templates as its lines call for. A token is constant where
+    lines of `least_docs` documents of the leaf have it at that position, else a
+    variable field. Lines whose constant tokens are the same, and are enough of
+    the line, share a template; any other line is a template of its own.
     """
     kinds = materialise(
         lines.groupBy("leaf", "code").agg(F.count_distinct("digest").alias("docs"), F.min("tokens").alias("tokens"))
     )
-    at = kinds.select("leaf", "docs", F.posexplode("tokens").alias("p", "token"))
-    counted = at.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n"))
-    modes = counted.groupBy("leaf", "p").agg(
-        F.min(F.struct((-F.col("n")).alias("less"), "token")).alias("best"), F.sum("n").alias("all")
-    )
-    constant = F.when(-2 * F.col("best.less") >= F.col("all"), F.col("best.token")).otherwise(F.lit(VARIABLE))
-    shape = modes.groupBy("leaf").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("p", constant.alias("t")))), lambda x: x["t"]).alias("shape")
-    )
-    agree = F.size(
-        F.filter(F.zip_with("tokens", "shape", lambda a, b: (a == b) & (b != VARIABLE)), lambda same_token: same_token)
-    )
-    template = F.when(agree >= similarity * F.size("tokens"), F.xxhash64("leaf", "shape")).otherwise(F.col("code"))
-    return kinds.join(materialise(shape), "leaf").select("leaf", "code", template.alias("template"))
+    at = kinds.select("leaf", "code", "docs", F.posexplode("tokens").alias("p", "token")).where(F.col("token") != VARIABLE)
+    often = at.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs)
+    # Written, so that the planner knows its size and broadcasts it where it is small.
+    constant = at.join(materialise(often.select("leaf", "p", "token")), ["leaf", "p", "token"])
+    shapes = constant.groupBy("leaf", "code").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("shape"))
+    enough = F.size("shape") >= similarity * F.size("tokens")
+    template = F.when(enough, F.xxhash64("leaf", "shape")).otherwise(F.col("code"))
+    return kinds.join(shapes, ["leaf", "code"], "left").select("leaf", "code", template.alias("template"))
 
 
 def recurring_lines(
@@ -92,7 +86,7 @@ def recurring_lines(
         .withColumn("code", F.xxhash64("tokens"))
     )
     placed = materialise(
-        often.drop("tokens").join(line_templates(often, similarity), ["leaf", "code"]).drop("leaf", "code").distinct()
+        often.drop("tokens").join(line_templates(often, similarity, least_docs), ["leaf", "code"]).drop("leaf", "code").distinct()
     )
 
     def recurring(rows: DataFrame) -> DataFrame:

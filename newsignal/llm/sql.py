@@ -143,21 +143,17 @@ with texts as (
     select * from lines semi join leaves using (leaf)
 ), kinds as (
     select leaf, tokens, count(distinct text) as docs from often group by leaf, tokens
-), counted as (
-    select leaf, q, token, sum(docs) as n
-    from (select leaf, docs, unnest(tokens) as token, unnest(range(len(tokens))) as q from kinds) group by all
-), modes as (
-    select leaf, q, case when 2 * n >= total then token else '<*>' end as t from (
-        select *, sum(n) over (partition by leaf, q) as total,
-            row_number() over (partition by leaf, q order by n desc, token) as r from counted)
-    where r = 1
+), spread as (
+    select leaf, tokens, docs, unnest(tokens) as token, unnest(range(len(tokens))) as q from kinds
+), constant as (
+    select leaf, q, token from spread where token <> '<*>' group by all having sum(docs) >= 5
 ), shapes as (
-    select leaf, list(t order by q) as shape from modes group by leaf
+    select leaf, tokens, list({'q': q, 't': token} order by q) as shape
+    from spread join constant using (leaf, q, token) group by leaf, tokens
 ), templates as (
-    select leaf, tokens, case when agree >= 0.6 * len(tokens) then shape else tokens end as template,
-        agree >= 0.6 * len(tokens) as shared
-    from (select *, len(list_filter(list_zip(tokens, shape), lambda x: x[1] = x[2] and x[2] <> '<*>')) as agree
-        from kinds join shapes using (leaf))
+    select leaf, tokens, coalesce(len(shape), 0) >= 0.6 * len(tokens) as shared,
+        case when coalesce(len(shape), 0) >= 0.6 * len(tokens) then shape::varchar else tokens::varchar end as template
+    from kinds left join shapes using (leaf, tokens)
 ), placed as (
     select text, p, size, leaf, template, shared from often join templates using (leaf, tokens)
 ), recur as (

@@ -112,6 +112,18 @@ def test_recurring_templates_go_and_copies_stay(documents):
             assert got[i].text == text and got[i].n_dropped == 0
 
 
+def test_a_leaf_has_many_templates(documents):
+    ends = ["here now please", "on our pages", "in the archive", "before you leave"]
+    lines = [f"read more about name{k}x{'abcdefghijklmnopqrstuvwxyz'[i]} {e}" for k, e in enumerate(ends) for i in range(20)]
+    lines = [x.replace(f"name{k}x", "nm" + "pqrs"[k]) for k in range(4) for x in lines if f"name{k}x" in x]
+    rows = [(i, f"{prose(900 + i, 40)}\n{line}\n{prose(2000 + i, 40)}", "en", "a", 1) for i, line in enumerate(lines)]
+    rows += [(500 + i, f"{prose(900 + i, 40)}\nread more about single{'abcd'[i]} {'qwer'[i]}x {'asdf'[i]}y {'zxcv'[i]}z", "en", "a", 1) for i in range(4)]
+    found = line_dedup.drop_recurring_lines(documents(rows))
+    assert python_nodes(found) == []
+    got = {r.doc_id: r.n_dropped for r in found.collect()}
+    assert [got[i] for i in range(80)] == [1] * 80 and [got[500 + i] for i in range(4)] == [0] * 4
+
+
 def test_lines_odd_rows(documents, odd_rows):
     docs = documents(odd_rows)
     got = line_dedup.drop_recurring_lines(docs)
