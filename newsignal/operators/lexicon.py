@@ -12,8 +12,8 @@ shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from newsignal.operators.candidates import listed_words, positions
 from newsignal.operators.joins import per_day
+from newsignal.operators.phrases import normal, phrases_of, symbols_of, units
 from newsignal.session import materialise
 
-TOKEN_BREAK = r"[^\p{L}']+"
 SHOUTED = r"^\p{Lu}{2,}$"
 
 # A small own lexicon; any (term, valence) table can take its place.
@@ -91,6 +91,18 @@ class Rules:
     question: float = 0.18
     many_questions: float = 0.96
     alpha: float = 15.0
+    symbols: Sequence[str] = ()
+    phrases: Sequence[str] = ()
+
+
+def rules_for(terms: Iterable[str], rules: Rules = Rules()) -> Rules:
+    """Rules that also meet the emoticons, hyphenated words and phrases among the
+    lexicon's terms and the rules' own words."""
+    roles = {"negations": rules.negations, "stronger": rules.stronger, "weaker": rules.weaker}
+    entries = [*terms, *(e for words in roles.values() for e in words)]
+    symbols = symbols_of(entries)
+    roles = {name: tuple(normal(e, symbols) for e in words) for name, words in roles.items()}
+    return replace(rules, symbols=symbols, phrases=phrases_of(entries, symbols), **roles)
 
 
 def lexicon_table(spark: SparkSession, valences: Mapping[str, float] = DEFAULT_VALENCES) -> DataFrame:
@@ -109,16 +121,20 @@ def _candidates(
     body = F.coalesce(F.col(text), F.lit(""))
     tokens = df.select(
         *keys,
-        F.array_remove(F.split(body, TOKEN_BREAK), "").alias("_t"),
+        units(body, rules.symbols, rules.phrases).alias("_t"),
         (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).alias("_bang"),
         (F.length(body) - F.length(F.replace(body, F.lit("?"), F.lit("")))).alias("_ask"),
     )
     raw, low = F.col("_t"), F.col("_l")
+
+    def loud(token: Column) -> Column:
+        return (F.replace(token, F.lit(" "), F.lit("")) if rules.phrases else token).rlike(SHOUTED)
+
     marked = tokens.select(
         "*",
         F.transform(raw, F.lower).alias("_l"),
         (
-            F.exists(raw, lambda t: t.rlike(SHOUTED)) & F.exists(raw, lambda t: ~t.rlike(SHOUTED))
+            F.exists(raw, loud) & F.exists(raw, lambda t: ~loud(t))
         ).alias("_mixed"),
     )
 
@@ -127,7 +143,7 @@ def _candidates(
             i.alias("at"),
             F.get(low, i).alias("word"),
             *[F.get(low, i - k).alias(f"back{k}") for k in (1, 2, 3)],
-            *[F.get(raw, i - k).rlike(SHOUTED).alias(f"loud{k}") for k in (0, 1, 2, 3)],
+            *[loud(F.get(raw, i - k)).alias(f"loud{k}") for k in (0, 1, 2, 3)],
         )
 
     found = F.transform(positions(low, terms), with_predecessors)
@@ -181,8 +197,15 @@ def lexicon_polarity(
     rules: Rules = Rules(),
     name: str = "lexicon_polarity",
 ) -> DataFrame:
-    """(keys, name): polarity in [-1, 1] of every article, over its whole text."""
-    lexicon = lexicon.select(F.col("term").alias("_word"), "valence")
+    """(keys, name): polarity in [-1, 1] of every article, over its whole text.
+
+    Terms are single words unless `rules` come from `rules_for`, which makes
+    phrases and symbols of the lexicon known. Terms must differ as tokens.
+    """
+    term = F.col("term")
+    if rules.symbols or rules.phrases:
+        term = F.lower(F.array_join(units(term, rules.symbols), " "))
+    lexicon = lexicon.select(term.alias("_word"), "valence")
     rows = _candidates(df, keys, text, rules, listed_words(lexicon, "_word"))
     totals = (
         rows.join(lexicon, "_word", "left")

@@ -125,6 +125,15 @@ def lexicon_polarity(spark, sf_dir):
     return rounded(polarity(spark, sf_dir))
 
 
+def phrase_polarity(spark, sf_dir):
+    """Polarity by a lexicon of words, phrases and symbols; line ends bear an emoticon."""
+    docs = tables.articles(spark, sf_dir)
+    smiling = docs.withColumn("text", F.replace("text", F.lit(".\n"), F.lit(" :).\n")))
+    rules = lexicon.rules_for(tables.CORPUS_ENTRIES, tables.PHRASE_ROLES)
+    table = lexicon.lexicon_table(spark, tables.CORPUS_ENTRIES)
+    return rounded(article_plan.polarity_table(smiling, table, "doc_id", rules))
+
+
 def daily_sentiment(spark, sf_dir):
     return rounded(lexicon.daily_mean(polarity(spark, sf_dir)))
 
@@ -483,6 +492,7 @@ def registered() -> dict[str, Query]:
         "finance_flag": finance_flag,
         "entity_mentions": found_mentions,
         "lexicon_polarity": lexicon_polarity,
+        "phrase_polarity": phrase_polarity,
         "clean_daily_sentiment": clean_daily_sentiment,
         "daily_sentiment": daily_sentiment,
         "daily_sentiment_attach": daily_sentiment_attach,

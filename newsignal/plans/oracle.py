@@ -6,7 +6,7 @@ is stated here a second time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from newsignal.functions import text
 from newsignal.operators import cleaning, indicators, lexicon, mentions
@@ -56,11 +56,20 @@ cleaned as (
   from kept group by date, text, trimmed_text)"""
 
 
-def polarity_ctes(source: str = "articles") -> str:
-    """tokens -> hits -> polarity(doc_id, date, lexicon_polarity)."""
-    r = tables.CORPUS_RULES
-    valences = rows((t, repr(float(v))) for t, v in lexicon.DEFAULT_VALENCES.items())
-    cut = quoted(lexicon.TOKEN_BREAK)
+# Stated here a second time, not taken from the code under test.
+WORD_CUT = quoted(r"[^\p{L}']+")
+SHOUTED = quoted(r"^\p{Lu}{2,}$")
+
+
+def polarity_ctes(
+    source: str = "articles", r: lexicon.Rules = tables.CORPUS_RULES,
+    entries: Mapping[str, float] = lexicon.DEFAULT_VALENCES, tokens: str | None = None,
+) -> str:
+    """tokens -> hits -> polarity(doc_id, date, lexicon_polarity); `tokens` is a list expression on the text."""
+    valences = rows((t, repr(float(v))) for t, v in entries.items())
+    words = lambda body: f"[x for x in string_split_regex({body}, {WORD_CUT}) if x <> '']"
+    small = f"list_transform({tokens}, lambda x: lower(x))" if tokens else words("lower(text)")
+    shout = lambda raw: f"regexp_matches(replace({raw}, ' ', ''), {SHOUTED})"
 
     def value(capitals: bool) -> str:
         loud = lambda k: f"(case when coalesce(loud{k}, false) then {r.capitals} else 0 end)" if capitals else "0"
@@ -78,8 +87,7 @@ def polarity_ctes(source: str = "articles") -> str:
         )
 
     return f"""split_up as (
-  select doc_id, date, [x for x in string_split_regex(text, {cut}) if x <> ''] as t,
-    coalesce(list_position([x for x in string_split_regex(lower(text), {cut}) if x <> ''], {quoted(r.contrast)}), 0) as turn,
+  select doc_id, date, {tokens or words("text")} as t, coalesce(list_position({small}, {quoted(r.contrast)}), 0) as turn,
     length(text) - length(replace(text, '!', '')) as bang,
     length(text) - length(replace(text, '?', '')) as ask
   from {source}),
@@ -87,10 +95,8 @@ single as (select doc_id, turn, unnest(t) as raw, generate_subscripts(t, 1) as p
 backed as (
   select doc_id, turn, place, lower(raw) as word, raw,
     lower(lag(raw, 1) over w) as back1, lower(lag(raw, 2) over w) as back2, lower(lag(raw, 3) over w) as back3,
-    regexp_matches(raw, {quoted(lexicon.SHOUTED)}) as loud0,
-    regexp_matches(lag(raw, 1) over w, {quoted(lexicon.SHOUTED)}) as loud1,
-    regexp_matches(lag(raw, 2) over w, {quoted(lexicon.SHOUTED)}) as loud2,
-    regexp_matches(lag(raw, 3) over w, {quoted(lexicon.SHOUTED)}) as loud3
+    {shout("raw")} as loud0, {shout("lag(raw, 1) over w")} as loud1,
+    {shout("lag(raw, 2) over w")} as loud2, {shout("lag(raw, 3) over w")} as loud3
   from single window w as (partition by doc_id order by place)),
 lex(word, valence) as (values {valences}),
 sums as (
@@ -110,6 +116,22 @@ polarity as (select doc_id, date, s / sqrt(s * s + {r.alpha}) as lexicon_polarit
 
 POLARITY = f"{ARTICLES}, {polarity_ctes()}"
 
+
+def phrase_tokens() -> str:
+    """Pieces between white space, cut into words unless they are symbols; then phrases, longest first."""
+    marks = "'|', ':)'"
+    piece = f"""case when p in ({marks}) then [p] when regexp_replace(p, '[.,!?]+$', '') in ({marks}) then [regexp_replace(p, '[.,!?]+$', '')]
+    else [x for x in string_split_regex(p, {WORD_CUT}) if x <> ''] end"""
+    joined = f"array_to_string(flatten(list_transform(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda p: {piece})), ' ')"
+    known = [*tables.CORPUS_ENTRIES, *tables.PHRASE_ROLES.negations, *tables.PHRASE_ROLES.stronger, *tables.PHRASE_ROLES.weaker]
+    longest = sorted((e for e in known if " " in e), key=len, reverse=True)
+    return f"regexp_extract_all({joined}, '(?i)({'|'.join(longest)}|[^ ]+)(?: |$)', 1)"
+
+
+SMILING = f"""smiling as (select doc_id, date, replace(text, '.' || chr(10), ' :).' || chr(10)) as text from articles)"""
+
+PHRASED = f"{ARTICLES}, {SMILING}, {polarity_ctes('smiling', tables.PHRASE_ROLES, tables.CORPUS_ENTRIES, phrase_tokens())}"
+
 CLASS5 = """case when lexicon_polarity < -0.5 then 'Very_Negative' when lexicon_polarity < 0 then 'Slight_Negative'
   when lexicon_polarity = 0 then 'Neutral' when lexicon_polarity <= 0.5 then 'Slight_Positive' else 'Very_Positive' end"""
 
@@ -394,6 +416,7 @@ from t where date >= {edge("start")} and date < {edge("stop")}""",
   then 1 else 0 end as finance_flag from documents""",
         "entity_mentions": mention_sql(),
         "lexicon_polarity": f"with {POLARITY} select doc_id, date, round(lexicon_polarity, 6) as lexicon_polarity from polarity",
+        "phrase_polarity": f"with {PHRASED} select doc_id, date, round(lexicon_polarity, 6) as lexicon_polarity from polarity",
         "clean_daily_sentiment": f"""with {CLEAN}, {polarity_ctes("cleaned")}, {DAILY}
 select date, round(mean_polarity, 6) as mean_polarity from daily""",
         "daily_sentiment": f"with {POLARITY}, {DAILY} select date, round(mean_polarity, 6) as mean_polarity from daily",

@@ -21,6 +21,16 @@ CORPUS_RULES = Rules(
     negations=("is", "not"), stronger=("the", "de"), weaker=("a", "of"), contrast="that"
 )
 
+# Entries of several words and a symbol, for words of the invented prose.
+CORPUS_ENTRIES = {
+    "of the": -1.3, "and of the": 2.4, "the and": 1.1, "in the": 0.7, "la de": -1.9, "der": 0.6, "on": -0.8,
+    "worthless": -2.1, "|": -0.4, ":)": 2.0,
+}
+
+PHRASE_ROLES = Rules(
+    negations=("is", "the is", "not"), stronger=("the", "de", "to the"), weaker=("a", "of the a"), contrast="that"
+)
+
 # Names that stand for companies in the invented prose.
 CORPUS_TERMS = (
     ("OF", "Offshore Fund", "ticker"),
