@@ -317,6 +317,13 @@ def fetch_outcomes(spark, sf_dir):
     return pages.groupBy("outcome").agg(F.count("*").alias("pages"), F.max(text).alias("last_text"))
 
 
+def fetch_once(spark, sf_dir):
+    """Page addresses without their query part, many named more than once, and one row in nine without any."""
+    pages = tables.given(spark, sf_dir, "pages")
+    named = pages.select("page_id", F.when(F.col("page_id") % 9 > 0, F.concat(tx.domain("url"), F.lit("/"), (F.col("page_id") % 50).cast("string"))).alias("url"))
+    return files.fetch_once(named, fetch_stub).select("page_id", "url", "status", "html", "error")
+
+
 def index_rows(spark, sf_dir):
     """Index lines with header lines, several addresses in a field, and none."""
     pages = tables.given(spark, sf_dir, "pages")
@@ -518,6 +525,7 @@ def registered() -> dict[str, Query]:
         "article_files": article_files,
         "parquet_by_day": parquet_by_day,
         "fetch_outcomes": fetch_outcomes,
+        "fetch_once": fetch_once,
         "index_rows": index_rows,
         "archive_names": archive_names,
         "table_page": table_page,

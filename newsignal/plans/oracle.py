@@ -466,6 +466,12 @@ from pages""",
   select url, case when left(md5(url), 1) = '0' then 'Error: too slow' when left(md5(url), 1) in ('1', '2', '3') then 'Failed: 404'
     else 'Success' end as outcome from pages)
 select outcome, count(*) as pages, max(case when outcome = 'Success' then url || ' end' end) as last_text from seen group by outcome""",
+        "fetch_once": r"""with named as (
+  select page_id, case when page_id % 9 > 0 then nullif(regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1), '') || '/' || page_id % 50 end as url
+  from pages), seen as (select *, left(md5(url), 1) as digit from named)
+select page_id, url, case when digit in ('1', '2', '3') then 404 when digit <> '0' then 200 end as status,
+  case when digit in ('1', '2', '3') then '' when digit <> '0' then '<p> ' || url || ' </p><p>end</p>' end as html,
+  case when digit = '0' then 'too slow' end as error from seen""",
         "index_rows": r"""with raw as (
   select page_id, case when page_id % 7 = 0 then 'DATE' when page_id % 11 > 0 then '201602' || (page_id % 20 + 10) end as day,
     case when page_id % 3 = 0 then url || '<UDIV>http://second.org/' || page_id when page_id % 5 > 0 then url end as urls from pages),

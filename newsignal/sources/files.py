@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsignal.functions.text import compact_day, domain, split_urls, url_key
 from newsignal.schemas import ARTICLE, FETCHED_PAGE, INDEX_COLUMNS, RAW_BAR
+from newsignal.session import materialise
 from newsignal.sources.archives import IndexArchives
 
 
@@ -139,9 +144,14 @@ def combine_index(index: DataFrame) -> DataFrame:
 Fetcher = Callable[[str], tuple[int, str]]
 
 
-def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
+def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8) -> DataFrame:
     """Fetches every URL in parallel tasks; failures become rows, not errors.
 
+    A task waits for up to `at_once` pages at a time, so `fetcher` must be safe to
+    call from several threads; it hands on pages as they come and holds no more
+    than twice that many. A URL that several rows name is fetched for each; see
+    `fetch_once`. NULL is not fetched: its status, html and error are NULL.
+
     Other columns of `urls`, such as the date, follow url, status, html and error,
     whose names they must not use.
     """
@@ -149,22 +159,53 @@ def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFram
     if clash := set(carried) & set(FETCHED_PAGE.names):
         raise ValueError(f"columns named like the result: {sorted(clash)}")
 
-    def visit(link: str) -> tuple[int | None, str | None, str | None]:
+    def visit(link: str | None) -> tuple[int | None, str | None, str | None]:
+        if link is None:
+            return None, None, None
         try:
             status, html = fetcher(link)
             return status, html, None
         except Exception as error:  # noqa: BLE001 - every failure is a result row
             return None, None, str(error)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: Iterable[Sequence] = [(u, *visit(u)) for u in batch["url"]]
-            pages = pd.DataFrame(rows, columns=["url", "status", "html", "error"])
-            pages = pages.astype({"status": "Int32"})
-            yield pd.concat([pages, batch[carried].reset_index(drop=True)], axis=1)
-
     named = urls.select(F.col(url).alias("url"), *carried)
-    return named.mapInPandas(run, T.StructType([*FETCHED_PAGE, *[named.schema[c] for c in carried]]))
+    schema = T.StructType([*FETCHED_PAGE, *[named.schema[c] for c in carried]])
+    arrow = to_arrow_schema(schema)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        with ThreadPoolExecutor(at_once) as pool:
+            waiting: deque = deque()
+            while True:
+                for row in islice(rows, 2 * at_once - len(waiting)):
+                    waiting.append((row, pool.submit(visit, row["url"])))
+                if not waiting:
+                    return
+                row, page = waiting.popleft()
+                yield row | dict(zip(("status", "html", "error"), page.result(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = visits(batches)
+        while some := list(islice(done, at_once)):
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
+
+    return named.mapInArrow(run, schema)
+
+
+def fetch_once(urls: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8) -> DataFrame:
+    """Every row of `urls` with its page, each different URL being fetched once.
+
+    Columns are those of `fetch_pages`. The pages are written before they are
+    joined back, so that no later action fetches anything again. Rows without a
+    URL stay, without a page.
+    """
+    carried = [c for c in urls.columns if c != url]
+    if clash := set(carried) & set(FETCHED_PAGE.names):
+        raise ValueError(f"columns named like the result: {sorted(clash)}")
+    named = urls.select(F.col(url).alias("url"), *carried)
+    distinct = named.where("url is not null").select("url").distinct()
+    pages = materialise(fetch_pages(distinct, fetcher, at_once=at_once))
+    return named.join(pages, "url", "left").select(*FETCHED_PAGE.names, *carried)
 
 
 def fetch_outcome(pages: DataFrame) -> DataFrame:

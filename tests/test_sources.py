@@ -1,5 +1,7 @@
 import csv
 import os
+import time
+import uuid
 import zipfile
 from datetime import date
 
@@ -177,6 +179,45 @@ def test_fetch_keeps_the_other_columns(spark):
         files.fetch_pages(urls.withColumn("html", F.lit("")), None, "link")
 
 
+def test_slow_pages_of_a_task_overlap(spark, tmp_path):
+    log = str(tmp_path)
+
+    def fetcher(url):
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{time.time()} ")
+            time.sleep(1)
+            f.write(f"{time.time()} {url}")
+        return 200, url
+
+    urls = spark.range(12).select(F.concat(F.lit("u"), "id").alias("url"), "id").coalesce(1)
+    rows = files.fetch_pages(urls, fetcher, at_once=6).collect()
+    assert [(r.url, r.html, r.id) for r in rows] == [(f"u{i}", f"u{i}", i) for i in range(12)]
+    spans = [p.read_text().split() for p in tmp_path.iterdir()]
+    first, last = min(float(s[0]) for s in spans), max(float(s[1]) for s in spans)
+    assert len(spans) == 12 and last - first < 6
+    inside = [sum(float(a) <= float(s[0]) < float(b) for a, b, _ in spans) for s in spans]
+    assert max(inside) <= 6
+
+
+def test_a_repeated_address_is_fetched_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    def fetcher(url):
+        open(f"{log}/{uuid.uuid4().hex}", "w").close()
+        if url == "bad":
+            raise OSError("gone")
+        return 200, f"page of {url}"
+
+    named = spark.range(1003).select("id", F.when(F.col("id") < 1000, "hot").when(F.col("id") == 1000, "bad").when(F.col("id") == 1001, "x").alias("link"))
+    pages = files.fetch_once(named, fetcher, "link")
+    assert pages.columns == ["url", "status", "html", "error", "id"]
+    assert pages.count() == 1003 and pages.where("html = 'page of hot'").count() == 1000
+    assert len(list(tmp_path.iterdir())) == 3
+    rest = {r.id: (r.url, r.status, r.html, r.error) for r in pages.where("id >= 1000").collect()}
+    assert rest == {1000: ("bad", None, None, "gone"), 1001: ("x", 200, "page of x", None), 1002: (None, None, None, None)}
+    assert files.fetch_once(named.limit(0), fetcher, "link").count() == 0
+
+
 def test_parquet_round_trip_and_file_names(spark, tmp_path):
     df = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "id int, date date")
     sinks.write_parquet(df, str(tmp_path / "by_day"))
