@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsignal.operators.ordered import row_index
+from newsignal.session import materialise
+
 HEAD_TERMS = 10_000
 HEAD_LENGTH = 100
 
@@ -18,23 +21,12 @@ def token_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def vocabulary(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, n, token_id): ids 0.. by falling count, then term.
 
-    A rank is the number of terms with a larger count plus the place among
-    terms of the same count. There are at most sqrt(2 * tokens) distinct
-    counts, so ranking those is small; terms that share a count are cut by
-    their first two characters.
+    Terms are counted once and numbered in ranges of (count, term), so that the
+    many terms that occur once, or that begin alike, share no task.
     """
-    counts = token_rows(df, key, text).groupBy("term").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_p", F.substring("term", 1, 2))
-    groups = counts.groupBy("n", "_p").agg(F.count("*").alias("_c"))
-    same = Window.partitionBy("n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = groups.groupBy("n").agg(F.sum("_c").alias("_c"))
-    levels = levels.select("n", F.coalesce(F.sum("_c").over(larger), F.lit(0)).alias("_above"))
-    offsets = groups.withColumn("_before", F.coalesce(F.sum("_c").over(same), F.lit(0))).join(levels, "n")
-    place = F.row_number().over(Window.partitionBy("n", "_p").orderBy("term")) - 1
-    return counts.join(offsets.select("n", "_p", "_above", "_before"), ["n", "_p"]).select(
-        "term", "n", (F.col("_above") + F.col("_before") + place).alias("token_id")
-    )
+    counts = materialise(token_rows(df, key, text).groupBy("term").agg(F.count("*").alias("n")))
+    keyed = counts.withColumn("_rank", F.struct((-F.col("n")).alias("less"), "term"))
+    return row_index(keyed, "_rank", "token_id").select("term", "n", "token_id")
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", head: int = HEAD_TERMS) -> DataFrame:

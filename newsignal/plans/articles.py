@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from newsignal.functions.labels import five_way, signed, three_way
 from newsignal.operators.cleaning import clean_articles
 from newsignal.operators.lexicon import Rules, attach_daily_mean, lexicon_polarity
+from newsignal.operators.mentions import finance_flag
 from newsignal.operators.reshape import to_long
+from newsignal.operators.scoring import Model, score_texts
 from newsignal.session import materialise
 
 LONG_IDS = ("date", "exception_flag", "finance_flag")
@@ -57,5 +59,31 @@ def long_table(scored: DataFrame, key: str, values: Sequence[str] = LONG_VALUES)
     return to_long(scored, ids, values)
 
 
+def finance_long(
+    raw: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    models: Mapping[str, Model],
+    terms: Sequence[str],
+    rules: Rules = Rules(),
+    **batches: int | None,
+) -> DataFrame:
+    """The long table of the articles that name one of the finance `terms`.
+
+    Values are the lexicon polarity, its mean over all articles of the day, its
+    class, and every model's label and score at full precision. The models see
+    only the articles that stay, in one pass; `batches` go to `score_texts`.
+    """
+    clean = materialise(clean_articles(raw, key))
+    polarity = attach_daily_mean(polarity_table(clean, lexicon, key, rules)).drop("date")
+    financial = finance_flag(clean, terms).where("finance_flag = 1")
+    fields = {f"{n}_{f}": F.col(f"{n}.{f}") for n in models for f in ("label", "score")}
+    scored = score_texts(financial, "text", models, **batches).select(
+        key, *LONG_IDS, *[c.alias(name) for name, c in fields.items()]
+    )
+    wide = scored.join(polarity, key).withColumn("polarity_class", five_way(F.col("lexicon_polarity")))
+    return long_table(wide, key, (*LONG_VALUES, *fields))
+
+
 def signed_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.withColumn(score, signed(F.col(label), F.col(score)))

@@ -453,6 +453,17 @@ def score_texts(spark, sf_dir):
     return rounded(scored_twice(spark, sf_dir).select("doc_id", *fields))
 
 
+def finance_long(spark, sf_dir):
+    """All seven values of the financial articles; numbers are rounded for the comparison only."""
+    long = article_plan.finance_long(
+        tables.raw_articles(spark, sf_dir), lexicon.lexicon_table(spark), "doc_id", SCORERS, FLAG_TERMS,
+        tables.CORPUS_RULES, batch=32, batch_words=100_000,
+    )
+    labels_of = F.col("sentiment_type").endswith("_label") | F.col("sentiment_type").endswith("_class")
+    number = F.when(~labels_of, F.round(F.col("value").cast("double"), 6))
+    return long.withColumns({"number": number, "word": F.when(labels_of, F.col("value"))}).drop("value")
+
+
 def model_features(spark, sf_dir):
     """Bars with the daily mean of three sentiment scores, split by bar."""
     both = scored_twice(spark, sf_dir).select(
@@ -507,6 +518,7 @@ def registered() -> dict[str, Query]:
         "polarity_class3": polarity_class3,
         "signed_score": signed_score,
         "sentiment_long": long_articles,
+        "finance_long": finance_long,
         "long_type_slice": long_type_slice,
         "token_ids": token_ids,
         "encode_tokens": encode_tokens,

@@ -137,13 +137,13 @@ CLASS5 = """case when lexicon_polarity < -0.5 then 'Very_Negative' when lexicon_
 
 DAILY = "daily as (select date, avg(lexicon_polarity) as mean_polarity from polarity group by date)"
 
-def keyword_ctes(name: str, body: str) -> str:
+def keyword_ctes(name: str, body: str, source: str = "articles") -> str:
     """Table `name` (doc_id, date, label, score) of the keyword balance of an expression on the text."""
     up, down = (quoted("|".join(k)) for k in (tables.KEYWORDS_UP, tables.KEYWORDS_DOWN))
     return f"""{name}_hits as (
   select doc_id, date, len(regexp_extract_all(lower({body}), {up})) as up,
     len(regexp_extract_all(lower({body}), {down})) as down
-  from articles),
+  from {source}),
 {name} as (
   select doc_id, date,
     case when up > down then 'POSITIVE' when up < down then 'NEGATIVE' else 'UNKNOWN' end as label,
@@ -153,7 +153,7 @@ def keyword_ctes(name: str, body: str) -> str:
 
 KEYWORDS = f"{ARTICLES}, {keyword_ctes('keyword', 'text')}"
 
-BEGINNING = f"array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:{catalog.HEADLINE_WORDS}], ' ')"
+BEGINNING = f"array_to_string(list_filter(string_split_regex(text, {quoted(SPACE + '+')}), lambda w: w <> '')[1:{catalog.HEADLINE_WORDS}], ' ')"
 
 SCORED_TWICE = f"{keyword_ctes('keywords', 'text')}, {keyword_ctes('headlines', BEGINNING)}"
 
@@ -168,6 +168,27 @@ long as (
   union all select doc_id, date, 'mean_polarity', mean_polarity from wide
   union all select doc_id, date, 'polarity_class', polarity_class from wide)"""
 
+
+
+def finance_long() -> str:
+    numbers = ("lexicon_polarity", "mean_polarity", "keywords_score", "headlines_score")
+    values = [(n, f"round({n}, 6)", "null") for n in numbers]
+    values += [(n, "null", n) for n in ("polarity_class", "keywords_label", "headlines_label")]
+    parts = " union all ".join(
+        f"select doc_id, date, exception_flag, finance_flag, '{n}' as sentiment_type, cast({number} as double) as number, cast({word} as varchar) as word from wide"
+        for n, number, word in values
+    )
+    return f"""with {CLEAN}, {polarity_ctes("cleaned")}, {DAILY},
+{keyword_ctes("keywords", "text", "cleaned")}, {keyword_ctes("headlines", BEGINNING, "cleaned")},
+wide as (
+  select doc_id, date, exception_flag, 1 as finance_flag, lexicon_polarity, mean_polarity, {CLASS5} as polarity_class,
+    k.label as keywords_label, k.score as keywords_score, h.label as headlines_label, h.score as headlines_score
+  from cleaned join polarity using (doc_id, date) join daily using (date)
+    join keywords k using (doc_id, date) join headlines h using (doc_id, date)
+  where {any_contains("lower(text)", [t.lower() for t in catalog.FLAG_TERMS])})
+{parts}"""
+
+
 TOKENS = r"""single as (
   select doc_id, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos from (
     select doc_id, [x for x in string_split_regex(lower(text), '[^\p{L}]+') if x <> ''] as t from documents)),
@@ -429,6 +450,7 @@ select date, round(mean_polarity, 6) as mean_polarity from daily""",
   round(case when label = 'NEGATIVE' then -score else score end, 6) as score from keyword""",
         "score_text": f"with {KEYWORDS} select doc_id, label, round(score, 6) as score from keyword",
         "sentiment_long": f"with {LONG} select * from long",
+        "finance_long": finance_long(),
         "long_type_slice": f"""with {LONG} select doc_id, date, sentiment_type, cast(value as double) as value
   from long where sentiment_type = 'lexicon_polarity'""",
         "token_ids": f"with {TOKENS} select * from vocab",

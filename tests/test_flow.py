@@ -4,10 +4,11 @@ import csv
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from newsignal.operators import cleaning, joins, lexicon, mentions, model, reshape
-from newsignal.plans.articles import long_table, scored_articles
+from newsignal.operators import cleaning, joins, lexicon, mentions, model, reshape, scoring
+from newsignal.plans.articles import finance_long, long_table, scored_articles
 from newsignal.plans.stocks import stock_features
 from newsignal.sources import files, sinks
 
@@ -57,3 +58,24 @@ def test_files_to_report(spark, tmp_path):
     report = model.model_report(split, {"none": ["close"], "lexicon": ["close", "mean_polarity"]}, "movement")
     assert {r.model for r in report.collect()} == {"none", "lexicon"}
     assert all(0 <= r.accuracy <= 1 and r.converged for r in report.collect())
+
+
+def test_long_table_of_financial_articles(spark):
+    texts = ["Stock is good", "stock was bad, bad", "nothing here but good", "stock of nothing", "None", "the stock 403 forbidden"]
+    raw = spark.createDataFrame([(i, date(2024, 1, 1), t) for i, t in enumerate(texts)], "id int, date date, text string")
+    table = lexicon.lexicon_table(spark, {"good": 1.9, "bad": -2.5})
+    models = {
+        "whole": scoring.Model(lambda: scoring.KeywordScorer(["good"], ["bad"])),
+        "begun": scoring.Model(lambda: scoring.KeywordScorer(["good"], ["bad"]), 2),
+    }
+    long = finance_long(raw, table, "id", models, ["STOCK"])
+    rows = {(r.id, r.sentiment_type): r.value for r in long.collect()}
+    kinds = ["lexicon_polarity", "mean_polarity", "polarity_class", "whole_label", "whole_score", "begun_label", "begun_score"]
+    assert len(rows) == long.count() == 21 and set(rows) == {(i, k) for i in (0, 1, 3) for k in kinds}
+    assert [rows[i, "whole_label"] for i in (0, 1, 3)] == ["POSITIVE", "NEGATIVE", "UNKNOWN"]
+    assert {rows[i, "begun_label"] for i in (0, 1, 3)} == {"UNKNOWN"}
+    scored = lexicon.lexicon_polarity(raw, table, ["id"]).where("id < 4").collect()
+    mean = sum(r.lexicon_polarity for r in scored) / 4
+    assert [float(rows[i, "mean_polarity"]) for i in (0, 1, 3)] == pytest.approx([mean] * 3)
+    assert float(rows[0, "lexicon_polarity"]) == next(r.lexicon_polarity for r in scored if r.id == 0)
+    assert finance_long(raw.limit(0), table, "id", models, ["STOCK"]).count() == 0
