@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from newsignal.llm.common import maybe_in, same, unused
 from newsignal.session import materialise, scratch
 
-SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = "\t\x0b\x0c\r"
 VARIABLE = "<*>"
 
 
 def tokens_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES), lambda t: t != "")
+    """What stands between blanks.
+
+    Few lines have another blank than a space, and splitting at one character
+    needs no regular expression.
+    """
+    spaced = F.when(line.rlike(f"[{BLANKS}]"), F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def masked(token: Column) -> Column:
@@ -22,17 +28,19 @@ def masked(token: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """digest, position, size, leaf, line of every line that is long enough; equal texts repeat their rows.
+    """digest, all, position, size, leaf, line, tokens of every line that is long enough; equal texts repeat their rows.
 
-    A line's leaf in the tree is its token count and its first tokens; both are
-    hashed into one number.
+    `all` and `size` are the lengths of text and line. A line's leaf in the tree
+    is its token count and its first tokens; both are hashed into one number.
     """
-    keyed = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("digest"), "text")
-    each = keyed.select("digest", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    cut = each.withColumn("tokens", tokens_of(F.col("line"))).withColumn("n", F.size("tokens"))
+    keyed = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("all"), "text")
+    # Tokens are made inside the explode, so that filters below it do not make them again.
+    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), tokens_of(x).alias("tokens")))
+    each = keyed.select("digest", "all", F.posexplode(cut).alias("position", "cut")).select("digest", "all", "position", "cut.*")
+    cut = each.withColumn("n", F.size("tokens"))
     head = F.transform(F.slice("tokens", 1, depth), masked)
     return cut.where(F.col("n") >= least_tokens).select(
-        "digest", "position", F.length("line").alias("size"), F.xxhash64("n", head).alias("leaf"), "line"
+        "digest", "all", "position", F.length("line").alias("size"), F.xxhash64("n", head).alias("leaf"), "line", "tokens"
     )
 
 
@@ -45,7 +53,8 @@ def line_templates(lines: DataFrame, similarity: float, least_docs: int) -> Data
     the line, share a template; any other line is a template of its own.
     """
     kinds = materialise(
-        lines.groupBy("leaf", "code").agg(F.count_distinct("digest").alias("docs"), F.min("tokens").alias("tokens"))
+        lines.groupBy("leaf", "code", "fields").agg(F.count_distinct("digest").alias("docs"))
+        .select("leaf", "code", "docs", F.split("fields", " ").alias("tokens"))
     )
     at = kinds.select("leaf", "code", "docs", F.posexplode("tokens").alias("p", "token")).where(F.col("token") != VARIABLE)
     often = at.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs)
@@ -76,17 +85,15 @@ def recurring_lines(
     leaves = materialise(
         lines.select("leaf", "digest").distinct().groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
     )
-    def fields(tokens: Column) -> Column:
-        plain = F.filter(tokens, lambda t: ~t.rlike("[0-9]"))
-        return F.when(F.size(plain) >= similarity * F.size(tokens), F.transform(tokens, masked)).otherwise(tokens)
-
-    tokens = same(tokens_of(F.col("line")), "tokens", fields)
+    plain = F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]")))
+    some = F.col("line").rlike("[0-9]") & (plain >= similarity * F.size("tokens"))
+    fields = F.array_join(F.when(some, F.transform("tokens", masked)).otherwise(F.col("tokens")), " ")
     often = materialise(
-        lines.join(leaves, "leaf").select("digest", "position", "size", "leaf", tokens.alias("tokens"))
-        .withColumn("code", F.xxhash64("tokens"))
+        lines.join(leaves, "leaf").select("digest", "all", "position", "size", "leaf", fields.alias("fields"))
+        .withColumn("code", F.xxhash64("fields"))
     )
     placed = materialise(
-        often.drop("tokens").join(line_templates(often, similarity, least_docs), ["leaf", "code"]).drop("leaf", "code").distinct()
+        often.drop("fields").join(line_templates(often, similarity, least_docs), ["leaf", "code"]).drop("leaf", "code").distinct()
     )
 
     def recurring(rows: DataFrame) -> DataFrame:
@@ -94,9 +101,8 @@ def recurring_lines(
         return counted.where(F.col("count") >= least_docs).select("template")
 
     first = materialise(placed.join(recurring(placed), "template", "left_semi"))
-    sizes = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("all")).distinct()
     copied = materialise(
-        first.groupBy("digest").agg(F.sum("size").alias("part")).join(sizes, "digest")
+        first.groupBy("digest").agg(F.sum("size").alias("part"), F.max("all").alias("all"))
         .where(F.col("part") > copied_share * F.col("all")).select("digest")
     )
     final = materialise(recurring(first.join(copied, "digest", "left_anti")))
