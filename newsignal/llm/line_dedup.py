@@ -70,7 +70,7 @@ def recurring_lines(
     docs: DataFrame,
     least_docs: int = 5,
     depth: int = 3,
-    least_tokens: int = 4,
+    least_tokens: int = 1,
     similarity: float = 0.6,
     copied_share: float = 0.5,
 ) -> DataFrame:
@@ -118,14 +118,16 @@ def drop_recurring_lines(
 
     Lines are split at newlines. The tree has a fixed depth: token count, then
     the first `depth` tokens, tokens with digits being variable. In a line of
-    too few other tokens, as in a table of numbers, no token is variable. Lines
-    of fewer than `least_tokens` tokens stay. See `recurring_lines` for what
-    recurs.
+    too few other tokens, as in a table of numbers, no token is variable. Short
+    lines have leaves of their own; lines of fewer than `least_tokens` tokens
+    stay, by default blank ones only. See `recurring_lines` for what recurs.
     Lines that stay keep their order; a text without a dropped line is not
     changed.
 
-    A NULL text stays NULL with 0 lines, an empty one has one line. Equal texts
-    are counted once and get equal results. Own columns of the two names are
+    A NULL text stays NULL with 0 lines, an empty one has one line; an empty
+    table gives an empty one. Whole texts of any length are read, one text's
+    tokens being held at a time. Equal texts are counted once and get equal
+    results. Own columns of the two names are
     replaced; other columns are passed through.
     """
     with scratch(docs.sparkSession) as keep:

@@ -136,7 +136,7 @@ with texts as (
     select text, p, length(line) as size, struct_pack(n := len(raw), h := masked[1:3]) as leaf,
         case when len(list_filter(raw, lambda t: not regexp_matches(t, '[0-9]'))) >= 0.6 * len(raw)
             then masked else raw end as tokens
-    from cut where len(raw) >= 4
+    from cut where len(raw) >= 1
 ), leaves as (
     select leaf from lines group by leaf having count(distinct text) >= 5
 ), often as (

@@ -124,6 +124,16 @@ def test_a_leaf_has_many_templates(documents):
     assert [got[i] for i in range(80)] == [1] * 80 and [got[500 + i] for i in range(4)] == [0] * 4
 
 
+def test_short_lines_recur_too(documents):
+    rows = [(i, f"{prose(i, 30)}\n\nAll rights\treserved\n{prose(60 + i, 30)}", "en", "a", 1) for i in range(20)]
+    rows += [(100, f"{prose(100, 30)}\nNo rights reserved\nrare", "en", "a", 1)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(documents(rows)).collect()}
+    assert [got[i].n_dropped for i in range(20)] == [1] * 20 and got[100].n_dropped == 0
+    assert got[3].text == f"{prose(3, 30)}\n\n{prose(63, 30)}"
+    longer = line_dedup.drop_recurring_lines(documents(rows), least_tokens=4)
+    assert longer.where("n_dropped > 0").count() == 0
+
+
 def test_lines_odd_rows(documents, odd_rows):
     docs = documents(odd_rows)
     got = line_dedup.drop_recurring_lines(docs)
