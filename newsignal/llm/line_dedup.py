@@ -10,6 +10,8 @@ from newsignal.session import materialise, scratch
 
 BLANKS = "\t\x0b\x0c\r"
 VARIABLE = "<*>"
+# A kind of line with more than this share of all lines is frequent: 10,000 kinds at most.
+FREQUENT = 1e-4
 
 
 def tokens_of(line: Column) -> Column:
@@ -45,7 +47,7 @@ def lines_of(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
 
 
 def line_templates(lines: DataFrame, similarity: float, least_docs: int) -> DataFrame:
-    """leaf, code (the hash of a masked line), template.
+    """leaf, code (the hash of a masked line), n (its lines), template.
 
     A leaf has as many templates as its lines call for. A token is constant where
     lines of `least_docs` documents of the leaf have it at that position, else a
@@ -53,17 +55,31 @@ def line_templates(lines: DataFrame, similarity: float, least_docs: int) -> Data
     the line, share a template; any other line is a template of its own.
     """
     kinds = materialise(
-        lines.groupBy("leaf", "code", "fields").agg(F.count_distinct("digest").alias("docs"))
-        .select("leaf", "code", "docs", F.split("fields", " ").alias("tokens"))
+        lines.groupBy("leaf", "code", "fields").agg(F.count_distinct("digest").alias("docs"), F.count("*").alias("n"))
+        .select("leaf", "code", "docs", "n", F.split("fields", " ").alias("tokens"))
     )
     at = kinds.select("leaf", "code", "docs", F.posexplode("tokens").alias("p", "token")).where(F.col("token") != VARIABLE)
-    often = at.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs)
+    often = at.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     # Written, so that the planner knows its size and broadcasts it where it is small.
     constant = at.join(materialise(often.select("leaf", "p", "token")), ["leaf", "p", "token"])
     shapes = constant.groupBy("leaf", "code").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("shape"))
     enough = F.size("shape") >= similarity * F.size("tokens")
     template = F.when(enough, F.xxhash64("leaf", "shape")).otherwise(F.col("code"))
-    return kinds.join(shapes, ["leaf", "code"], "left").select("leaf", "code", template.alias("template"))
+    return kinds.join(shapes, ["leaf", "code"], "left").select("leaf", "code", "n", template.alias("template"))
+
+
+def with_template(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """`lines` with the template of their leaf and code.
+
+    Templates of frequent kinds, of which there are 1 / `FREQUENT` at most, are
+    broadcast; only lines of the other kinds are shuffled, so a line that stands
+    in a third of all documents does not meet in one task.
+    """
+    frequent = F.col("n") > F.lit(FREQUENT * lines.count())
+    kind = ["leaf", "code"]
+    known = lines.join(F.broadcast(templates.where(frequent).drop("n")), kind, "left")
+    rest = known.where("template is null").drop("template").join(templates.where(~frequent).drop("n"), kind)
+    return known.where("template is not null").unionByName(rest)
 
 
 def recurring_lines(
@@ -92,9 +108,8 @@ def recurring_lines(
         lines.join(leaves, "leaf").select("digest", "all", "position", "size", "leaf", fields.alias("fields"))
         .withColumn("code", F.xxhash64("fields"))
     )
-    placed = materialise(
-        often.drop("fields").join(line_templates(often, similarity, least_docs), ["leaf", "code"]).drop("leaf", "code").distinct()
-    )
+    templates = materialise(line_templates(often, similarity, least_docs))
+    placed = materialise(with_template(often.drop("fields"), templates).drop("leaf", "code").distinct())
 
     def recurring(rows: DataFrame) -> DataFrame:
         counted = rows.select("template", "digest").distinct().groupBy("template").count()
