@@ -395,6 +395,14 @@ def labelled_bars(spark, sf_dir):
 
 
 def sentiment_stock_join(spark, sf_dir):
+    """Every article with every bar of its day."""
+    sizes = tables.given(spark, sf_dir, "documents").select(tables.article_date().alias("date"))
+    return rounded(
+        joins.join_by_day(polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "doc_id", joins.day_sizes(sizes))
+    )
+
+
+def sentiment_stock_statistics(spark, sf_dir):
     """Every bar with the statistics of all articles of its day; the pairs are not made."""
     return rounded(joins.join_statistics(polarity(spark, sf_dir), labelled_bars(spark, sf_dir), "lexicon_polarity"))
 
@@ -556,6 +564,7 @@ def registered() -> dict[str, Query]:
         "vix_left_join": vix_left_join,
         "stock_features": all_features,
         "sentiment_stock_join": sentiment_stock_join,
+        "sentiment_stock_statistics": sentiment_stock_statistics,
         "sentiment_stock_join_daily": sentiment_stock_join_daily,
         "join_moments": join_moments,
         "hash_split": hash_split,

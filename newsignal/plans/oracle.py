@@ -526,7 +526,9 @@ select ticker, date, round(high, 3) as high, round(low, 3) as low, round(close,
   {round_all(bands, 3)}, {OBV} as obv, {round_all(forwards, 3)}, round(high - low, 3) as day_range,
   round(ema_12 - ema_26, 3) as macd, {moves}, 0 as earnings_bool, 0 as split_indicator, round(value, 3) as vix_close
 from sides join (select ticker, date, {', '.join(emas)} from ema) using (ticker, date) left join series using (date)""",
-        "sentiment_stock_join": f"""with {POLARITY}, {EVENT_BARS} select ticker, date, close, movement, count(*) as articles,
+        "sentiment_stock_join": f"""with {POLARITY}, {EVENT_BARS} select doc_id, date, round(lexicon_polarity, 6) as lexicon_polarity,
+  ticker, close, movement from polarity join labelled using (date)""",
+        "sentiment_stock_statistics": f"""with {POLARITY}, {EVENT_BARS} select ticker, date, close, movement, count(*) as articles,
   round(avg(lexicon_polarity), 6) as mean, round(min(lexicon_polarity), 6) as minimum, round(max(lexicon_polarity), 6) as maximum,
   round(stddev_samp(lexicon_polarity), 6) as deviation
 from polarity join labelled using (date) group by ticker, date, close, movement""",

@@ -2,12 +2,13 @@
 
 import csv
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsignal.operators import cleaning, joins, lexicon, mentions, model, reshape, scoring
+from newsignal.plans import catalog
 from newsignal.plans.articles import finance_long, long_table, scored_articles
 from newsignal.plans.stocks import stock_features
 from newsignal.sources import files, sinks
@@ -79,3 +80,17 @@ def test_long_table_of_financial_articles(spark):
     assert [float(rows[i, "mean_polarity"]) for i in (0, 1, 3)] == pytest.approx([mean] * 3)
     assert float(rows[0, "lexicon_polarity"]) == next(r.lexicon_polarity for r in scored if r.id == 0)
     assert finance_long(raw.limit(0), table, "id", models, ["STOCK"]).count() == 0
+
+
+def test_stock_join_has_every_article_with_every_bar_of_its_day(spark, tmp_path):
+    texts = {0: "a good day", 30: "a good day", 60: "a bad day", 90: None, 1: "good", 2: "on a day without bars"}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    bars = [("x", 0, 1.5), ("x", 0, 2.5), ("y", 0, 3.5), ("x", 1, 4.5), ("y", 5, 5.5)]
+    events = [(t, datetime(2024, 1, 1 + d, i), v) for i, (t, d, v) in enumerate(bars)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(events, "event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    polarity = {r.doc_id: r.lexicon_polarity for r in catalog.lexicon_polarity(spark, str(tmp_path)).collect()}
+    got = [(r.doc_id, r.ticker, r.date.day, r.close, r.lexicon_polarity) for r in catalog.sentiment_stock_join(spark, str(tmp_path)).collect()]
+    want = [(i, t, 1, c, polarity[i]) for i in (0, 30, 60, 90) for t, c in (("x", 2.5), ("y", 3.5))] + [(1, "x", 2, 4.5, polarity[1])]
+    assert sorted(got) == sorted(want) and polarity[0] > 0 > polarity[60]
+    assert {(r.ticker, r.date.day): r.articles for r in catalog.sentiment_stock_statistics(spark, str(tmp_path)).collect()} == {("x", 1): 4, ("y", 1): 4, ("x", 2): 1}
