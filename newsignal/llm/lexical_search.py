@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from newsignal.session import materialise
+from newsignal.session import arrow_batches, materialise
 
 # A term is a run of ASCII letters, digits and characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -21,14 +21,27 @@ SHARE = 75
 GAIN = 1_000_000_000
 
 SEGMENT_ROWS = 1 << 15
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK_TERMS = 200_000
 
+# Segments are rows of some MB, so whatever holds rows must hold few: Parquet writes a
+# row group out at that many bytes, not after its usual 100 rows, and batches for
+# Python end there too. Terms go back to Spark in batches of `TERM_ROWS`.
+GROUP_BYTES = 8 << 20
+ROW_GROUPS = {
+    "parquet.block.size": GROUP_BYTES,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+    "parquet.column.statistics.enabled": False,  # they would keep the values of all row groups until the file's end
+    "parquet.enable.dictionary": False,  # would hold each value once more
+}
+TERM_ROWS = 8192
+
 # Bytes that end a term become blanks, A to Z become small; bytes beyond ASCII stay.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 SEGMENT = (
-    "ids array<long>, m array<long>, stratum_end array<int>, terms array<string>, df array<int>, "
+    "ids array<long>, m array<long>, stratum_end array<int>, term_bytes binary, term_at binary, df binary, "
     "term_end binary, group_stratum binary, group_tf binary, group_end binary, postings binary"
 )
 
@@ -62,7 +75,8 @@ def corpus_size(texts: DataFrame) -> tuple[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["docs", "terms"])
 
     sums = texts.select("text").mapInArrow(counted, "docs long, terms long").agg(F.sum("docs"), F.sum("terms"))
-    docs, terms = sums.first()
+    with arrow_batches(texts.sparkSession, GROUP_BYTES):
+        docs, terms = sums.first()
     return docs or 0, terms or 0
 
 
@@ -74,6 +88,19 @@ class Numbers(dict):
         return value
 
 
+def term_blobs(terms: Iterable[bytes]) -> tuple[bytes, bytes]:
+    """The bytes of all terms and where each begins, as Arrow holds strings."""
+    clean = [t.decode("utf-8", "replace").encode() for t in terms]
+    ends = np.cumsum([0, *map(len, clean)])
+    return b"".join(clean), ends.astype("<i4").tobytes()
+
+
+def term_array(term_bytes: pa.Scalar, term_at: pa.Scalar) -> pa.Array:
+    """The terms of one segment."""
+    at = pa.py_buffer(term_at.as_py())
+    return pa.StringArray.from_buffers(at.size // 4 - 1, at, term_bytes.as_buffer())
+
+
 def segment_row(ids: list, lists: list[np.ndarray], numbers: Numbers, n_docs: int, n_terms: int) -> list:
     """One index segment: documents in the order of m, postings by term, stratum and tf.
 
@@ -98,8 +125,8 @@ def segment_row(ids: list, lists: list[np.ndarray], numbers: Numbers, n_docs: in
         [ids[i] for i in order],
         strata,
         np.cumsum(sizes),
-        [t.decode("utf-8", "replace") for t in numbers],
-        np.bincount(term, minlength=len(numbers)),
+        *term_blobs(numbers),
+        np.bincount(term, minlength=len(numbers)).astype("<u4").tobytes(),
         np.cumsum(np.bincount(group_term, minlength=len(numbers))).astype("<u4").tobytes(),
         (key // widest % len(strata)).astype("<u2").tobytes(),
         (key % widest).astype("<u4").tobytes(),
@@ -109,7 +136,7 @@ def segment_row(ids: list, lists: list[np.ndarray], numbers: Numbers, n_docs: in
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Indexes every document with a term, in segments of at most 32,768 documents and some 16 MB of text.
+    """Indexes every document with a term, in segments of at most 32,768 documents and some 4 MB of text.
 
     A task cuts its documents into segments; nothing is shuffled. Whole texts
     are read, a very long one fills a segment of its own. NULL texts and texts
@@ -125,8 +152,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         schema = pa.schema(
             [
                 ("ids", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("stratum_end", pa.list_(pa.int32())),
-                ("terms", pa.list_(pa.string())), ("df", pa.list_(pa.int32())),
-                *[(c, pa.binary()) for c in ("term_end", "group_stratum", "group_tf", "group_end", "postings")],
+                *[(c, pa.binary()) for c in ("term_bytes", "term_at", "df", "term_end", "group_stratum", "group_tf", "group_end", "postings")],
             ]
         )
         ids: list = []
@@ -152,7 +178,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield flushed()
 
-    return Index(materialise(binary.mapInArrow(segments, SEGMENT)), n_docs, n_terms)
+    with arrow_batches(docs.sparkSession, GROUP_BYTES):
+        return Index(materialise(binary.mapInArrow(segments, SEGMENT), **ROW_GROUPS), n_docs, n_terms)
+
+
+def document_frequencies(index: Index) -> DataFrame:
+    """(term, df) of every segment."""
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for term_bytes, term_at, df in zip(*batch.columns):
+                terms, counts = term_array(term_bytes, term_at), np.frombuffer(df.as_py(), "<u4").astype(np.int64)
+                for at in range(0, len(terms), TERM_ROWS):
+                    rows = [terms.slice(at, TERM_ROWS), pa.array(counts[at : at + TERM_ROWS])]
+                    yield pa.RecordBatch.from_arrays(rows, ["term", "df"])
+
+    return index.segments.select("term_bytes", "term_at", "df").mapInArrow(listed, "term string, df long")
 
 
 def weighted_items(index: Index, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,8 +206,7 @@ def weighted_items(index: Index, items: DataFrame, id_col: str, text_col: str) -
         .agg(F.count("*").alias("repeats"))
     )
     found = (
-        index.segments.select(F.explode(F.arrays_zip("terms", "df")).alias("t"))
-        .select(F.col("t.terms").alias("term"), "t.df")
+        document_frequencies(index)
         .join(wanted.select("term"), "term", "left_semi")
         .groupBy("term")
         .agg(F.sum("df").alias("df"))
@@ -227,7 +267,7 @@ class Segment:
         self.null = np.asarray(ids.is_null())
         self.ids = np.asarray(ids.fill_null(0))
         m = np.asarray(row["m"].values)
-        at = np.asarray(pc.index_in(wanted, value_set=row["terms"].values).fill_null(-1))
+        at = np.asarray(pc.index_in(wanted, value_set=term_array(row["term_bytes"], row["term_at"])).fill_null(-1))
         blobs = {c: np.frombuffer(row[c].as_py(), kind) for c, kind in
                  (("term_end", "<u4"), ("group_stratum", "<u2"), ("group_tf", "<u4"), ("group_end", "<u4"), ("postings", "<u2"))}
         term_end = blobs["term_end"].astype(np.int64)
@@ -328,11 +368,13 @@ def search(
     documents per item over all its segments and sends only those.
     """
     kind = items.schema[item_col].dataType
-    weighted = materialise(weighted_items(index, items, item_col, text_col))
+    with arrow_batches(items.sparkSession, GROUP_BYTES):
+        weighted = materialise(weighted_items(index, items, item_col, text_col))
     none = items.sparkSession.createDataFrame([], f"item {kind.simpleString()}, doc long, score long")
     out = none
     for block in in_blocks(weighted.toLocalIterator(), BLOCK_TERMS):
-        out = out.unionByName(materialise(search_block(index.segments, block, kind, k)))
+        with arrow_batches(items.sparkSession, GROUP_BYTES):
+            out = out.unionByName(materialise(search_block(index.segments, block, kind, k)))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
     return (
         out.withColumn("rank", F.row_number().over(order))

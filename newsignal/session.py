@@ -49,21 +49,34 @@ def shared_folder(spark: SparkSession) -> str:
 WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options: object) -> DataFrame:
     """Cut the lineage of a table that several later jobs read.
 
     The rows are written as a Parquet table in the shared folder, so a lost
     executor does not lose them and later reads prune columns. Inside of
-    `scratch` the table lives as long as the scope.
+    `scratch` the table lives as long as the scope. `options` are those of the
+    writer.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     written = WRITTEN.get()
     if written is not None:
         written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run inside of it send batches of some `most` bytes to Python, of one row at least."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A scope whose written tables are deleted at its end.

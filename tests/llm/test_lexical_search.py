@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from texts import prose
 
@@ -78,3 +79,18 @@ def test_own_names(spark):
     out = ls.search(ls.build_index(docs), items)
     assert out.columns == ["item_id", "rank", "doc_id", "score"]
     assert [(r.item_id, r["rank"], r.doc_id) for r in out.collect()] == [("q", 1, 1)]
+
+
+def test_written_segments_do_not_pile_up(spark, monkeypatch):
+    """A task with many segments writes row groups of some MB each, and none leaves its values as statistics."""
+    monkeypatch.setattr(ls, "SEGMENT_BYTES", 1 << 20)
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2_000))) for i in range(700)]
+    index = ls.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.segments.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 12 and sum(g.total_byte_size for g in groups) > 20 << 20
+    assert max(g.total_byte_size for g in groups) <= 10 << 20
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))
+    found = ls.search(index, spark.createDataFrame([(i, docs[i][1][-60:]) for i in (0, 350, 699)], ITEMS), k=1)
+    assert sorted((r.item_id, r.doc_id) for r in found.collect()) == [(0, 0), (350, 350), (699, 699)]

@@ -56,3 +56,21 @@ def test_scratch_deletes_what_it_wrote_but_what_is_kept(spark):
         session.materialise(spark.range(3))
         1 / 0
     assert len(files() - before) == 1
+
+
+def test_batches_for_python_end_at_a_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def rows(batches):
+        for batch in batches:
+            yield batch.from_arrays([[batch.num_rows]], ["rows"])
+
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 10000) as text")
+    before = spark.conf.get(name)
+    with session.arrow_batches(spark, 100_000):
+        sizes = [r.rows for r in texts.mapInArrow(rows, "rows long").collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 20
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), session.arrow_batches(spark, 1):
+        1 / 0
+    assert spark.conf.get(name) == before
